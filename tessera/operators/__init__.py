@@ -1 +1 @@
-"""."""
+"""Grids and sketches, area MinHash, exact and approximate search, evaluation."""

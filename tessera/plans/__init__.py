@@ -1 +1 @@
-"""."""
+"""Whole runs: approximate and exact search with evaluation (``comparison``)."""
