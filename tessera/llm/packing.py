@@ -9,14 +9,17 @@ token counts alone, so all partitions run at once.
 
 from __future__ import annotations
 
+import json
 import math
 import os
 import zlib
 from collections import deque
 from collections.abc import Iterator
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -24,55 +27,105 @@ from pyspark.sql import functions as F
 from tessera.llm.common import bytes_digest, file_bytes, stored
 
 #: Entries that a worker remembers; when they are reached it starts again.
-MEMO = 500_000
+MEMO = 800_000
 _LOADED: dict[str, "WordTokens"] = {}
 
 
+#: The splitting pattern for which words can be encoded one by one: letters, single digits, runs of other signs.
+_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 class WordTokens:
-    """Ids by a tokenizer that never joins what blanks or line feeds part.
+    """Ids of whole texts by a tokenizer, with a memory of words.
 
-    Pieces between blanks are encoded by the library, many at once, and remembered, if the
-    tokenizer's own steps drop white space before its merges; else whole texts are encoded.
+    Where the tokenizer lower-cases, drops white space and merges within words only, texts are
+    cut at blanks and line feeds and each word is encoded once by the library. Texts with the
+    string of an added token, and all texts of other tokenizers, are encoded whole.
     """
 
     def __init__(self, data: bytes):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import json
-
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_str(data.decode())
         self.tok.no_truncation()
         self.tok.no_padding()
-        self.memo: dict[str, bytes] = {}
-        self.apart = self._parts_at_space(json.loads(data))
+        self.memo: dict[bytes, bytes] = {}
+        self.cut = regex.compile(_PATTERN).findall
+        spec = json.loads(data)
+        self.apart = self._by_words(spec)
+        self.added = [t["content"].encode().lower() for t in spec.get("added_tokens", [])]
+        suffix = spec["model"].get("end_of_word_suffix")
+        #: Two bytes an id where the vocabulary allows.
+        self.kind = np.uint16 if self.tok.get_vocab_size() <= 1 << 16 else np.uint32
+        self.ends = np.zeros(self.tok.get_vocab_size(), bool)
+        if suffix:
+            self.ends[[i for t, i in self.tok.get_vocab().items() if t.endswith(suffix)]] = True
 
     @staticmethod
-    def _parts_at_space(spec: dict) -> bool:
-        """White space is matched by no word of the splitting pattern, everything unmatched is removed, and added tokens hold none."""
-        steps = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
-        first = steps[0] if steps else {}
-        pattern = first.get("pattern", {}).get("Regex", " ")
-        words = first.get("type") == "Split" and first.get("behavior") == "Removed" and first.get("invert") and " " not in pattern and r"\S" not in pattern and pattern.count(r"\s") == pattern.count(r"[^\s")
-        prefix = any(s.get("add_prefix_space") for s in steps)
-        kinds = {n["type"] for n in (spec.get("normalizer") or {}).get("normalizers", [])}
-        tokens = spec.get("added_tokens", [])
-        plain = all(not (t["lstrip"] or t["rstrip"] or t["single_word"]) and not any(c.isspace() for c in t["content"]) for t in tokens)
-        return bool(words and not prefix and kinds <= {"NFC", "Replace", "Lowercase"} and plain and not spec.get("post_processor"))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian 32-bit ids of each whole text."""
-        if not self.apart:
-            return [np.array(self.tok.encode(t, add_special_tokens=False).ids, np.int32).tobytes() for t in texts]
-        rows = [t.replace("\n", " ").split(" ") for t in texts]
-        all_chunks = {c for row in rows for c in row}
-        missing = [*all_chunks.difference(self.memo)]
-        if len(self.memo) + len(missing) > MEMO:
+    def _by_words(spec: dict) -> bool:
+        steps = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+        cut = steps[0]
+        kinds = [n["type"] for n in (spec.get("normalizer") or {}).get("normalizers", [])]
+        removed = cut.get("type") == "Split" and cut.get("behavior") == "Removed" and cut.get("invert") and cut["pattern"].get("Regex") == _PATTERN
+        plain = all(s["type"] == "ByteLevel" and not s["add_prefix_space"] and not s["use_regex"] for s in steps[1:])
+        whole = any(t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] for t in spec.get("added_tokens", []))
+        return bool(removed and plain and kinds == ["NFC", "Replace", "Lowercase"] and not whole and not spec.get("post_processor"))
+
+    def _whole(self, text: bytes) -> bytes:
+        return np.array(self.tok.encode(text.decode(), add_special_tokens=False).ids, self.kind).tobytes()
+
+    def _learn(self, words: list[bytes]) -> None:
+        if len(self.memo) + len(words) > MEMO:
             self.memo.clear()
-            missing = [*all_chunks]
-        for c, e in zip(missing, self.tok.encode_batch_fast(missing, add_special_tokens=False), strict=True):
-            self.memo[c] = np.array(e.ids, np.int32).tobytes()
-        return [b"".join(map(self.memo.__getitem__, row)) for row in rows]
+        texts = b" ".join(words).decode().split(" ")
+        cut = {w: self.cut(t) for w, t in zip(words, texts, strict=True) if not t.isalpha() and "'" not in t and is_normalized("NFC", t)}
+        parts = {p for ps in cut.values() for p in ps if p.encode() not in self.memo}
+        letters = {t: w for w, t in zip(words, texts, strict=True) if t.isalpha()} | {p: p.encode() for p in parts if p.isalpha()}
+        names, keys = [*letters], [*letters.values()]
+        # a word of letters is one stretch of merges, and its last id says that it ends
+        for at in range(0, len(names), 2000):
+            part = names[at : at + 2000]
+            ids = np.array(self.tok.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, self.kind)
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) == len(part) and (not len(ends) or ends[-1] == len(ids)):
+                raw, ends = ids.tobytes(), (ids.itemsize * ends).tolist()
+                self.memo.update(zip(keys[at : at + 2000], [raw[i:j] for i, j in zip([0, *ends], ends, strict=False)], strict=True))
+            else:
+                self._each(part)
+        self._each([p for p in parts if not p.isalpha()])
+        # other words are the words that the splitting pattern sees in them
+        for w, ps in cut.items():
+            self.memo[w] = b"".join([self.memo[p.encode()] for p in ps])
+        self._each([w.decode() for w in words if w not in self.memo])
+
+    def _each(self, texts: list[str]) -> None:
+        for t, e in zip(texts, self.tok.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+            self.memo[t.encode()] = np.array(e.ids, self.kind).tobytes()
+
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        """Little-endian ids of each whole UTF-8 text, each of the width of ``kind``."""
+        if not self.apart:
+            return [self._whole(t) for t in texts]
+        known, out, open_ = self.memo.get, [], []
+        missing: set[bytes] = set()
+        for text in texts:
+            low = text.lower()  # A-Z only; the library lower-cases the rest
+            if any(a in low for a in self.added):
+                out.append([self._whole(text)])
+                continue
+            words = low.replace(b"\n", b" ").split(b" ")
+            ids = [*map(known, words)]
+            if None in ids:
+                places = [i for i, x in enumerate(ids) if x is None]
+                at = [words[i] for i in places]
+                missing.update(at)
+                open_.append((ids, places, at))
+            out.append(ids)
+        if missing:
+            self._learn([*missing])
+            for ids, places, at in open_:
+                for i, w in zip(places, at, strict=True):
+                    ids[i] = self.memo[w]
+        return [b"".join(x) for x in out]
 
 
 def _loaded(data: bytes, key: str) -> WordTokens:
@@ -82,21 +135,23 @@ def _loaded(data: bytes, key: str) -> WordTokens:
 
 
 def tokenise(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", end_id: int | None = None) -> DataFrame:
-    """(id, source, ids, n_tokens): ``ids`` is binary, little-endian unsigned 32-bit, ``end_id`` appended; a null text is empty, a null source is one source."""
+    """(id, source, ids, n_tokens): ``ids`` is binary, little-endian, unsigned, of 16 bits an id if the vocabulary has no more than 65536,
+    else 32, ``end_id`` appended; a null text is empty, a null source is one source. An empty table gives an empty table."""
     data = file_bytes(tokenizer_path)
     key = bytes_digest(data)
     sent = docs.sparkSession.sparkContext.broadcast(data)
-    end = b"" if end_id is None else np.array([end_id], np.uint32).tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _loaded(sent.value, key)
+        end = np.array([] if end_id is None else [end_id], words.kind).tobytes()
+        width = np.dtype(words.kind).itemsize
         for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                b = whole.slice(at, 256)
-                ids = [x + end for x in words.encode([t or "" for t in b.column("text").to_pylist()])]
-                yield pa.RecordBatch.from_arrays([b.column("id"), b.column("source"), pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64())], names=["id", "source", "ids", "n_tokens"])
+            for at in range(0, whole.num_rows, 1024):
+                b = whole.slice(at, 1024)
+                ids = [x + end for x in words.encode([t or b"" for t in b.column("text").to_pylist()])]
+                yield pa.RecordBatch.from_arrays([b.column("id"), b.column("source"), pa.array(ids, pa.binary()), pa.array([len(x) // width for x in ids], pa.int64())], names=["id", "source", "ids", "n_tokens"])
 
-    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), F.col(text_col).cast("binary").alias("text"))
     return rows.mapInArrow(run, f"id {dict(docs.dtypes)[id_col]}, source string, ids binary, n_tokens bigint")
 
 
@@ -149,15 +204,16 @@ class Rounds:
         return out
 
 
-def pack(tokens: DataFrame, *, window: int = 4096, shares: dict[str | None, float] | None = None, partition_tokens: int = 1 << 21, least_piece: int = 64) -> DataFrame:
+def pack(tokens: DataFrame, *, window: int = 4096, shares: dict[str | None, float] | None = None, partition_tokens: int = 1 << 21, least_piece: int = 256, with_ids: bool = True) -> DataFrame:
     """(id, start, length, ids, doc_tokens, sequence_id, offset): every token in exactly one piece.
 
-    ``tokens``: as ``tokenise`` gives. ``shares``: each source's part of the tokens of a window;
+    ``tokens``: as ``tokenise`` gives; the pieces' ids are little-endian unsigned 32-bit. ``shares``: each source's part of the tokens of a window;
     by default its part of all tokens, so that no queue runs dry early. Sources without a share
     fill what room there is. Documents are cut where a window or a credit ends. All
     sequences but a partition's last are full; the rest of a partition goes to sequences of the
     largest powers of two, so nothing is padded. A partition takes about
-    ``partition_tokens``, never less than a whole document. An empty table gives an empty table.
+    ``partition_tokens``, never less than a whole document. Without ``with_ids`` the ids
+    stay behind and only their CRC-32 is given. An empty table gives an empty table.
     """
     kept = stored(tokens.withColumn("row", F.monotonically_increasing_id()), "tokens")
     total = kept.agg(F.sum("n_tokens")).first()[0] or 0
@@ -186,8 +242,13 @@ def pack(tokens: DataFrame, *, window: int = 4096, shares: dict[str | None, floa
         for i, (s, n) in enumerate(zip(docs.column("source").to_pylist(), sizes, strict=True)):
             rounds.add(s, i, n)
         part = docs.column("part")[0].as_py() if docs.num_rows else 0
-        buffers = [x.as_buffer() for x in docs.column("ids")]
-        at, begin, size, ids, sequence, offset = [], [], [], [], [], []
+        flat = docs.column("ids").combine_chunks()
+        ends = np.frombuffer(flat.buffers()[1], np.int32)[flat.offset : flat.offset + len(flat) + 1] if len(flat) else np.zeros(1, np.int32)
+        width = int(ends[-1] - ends[0]) // max(1, sum(sizes)) or 4
+        every = np.frombuffer(flat.buffers()[2], np.uint8)[ends[0] : ends[-1]].view(np.uint16 if width == 2 else np.uint32).astype("<u4").view(np.uint8) if sum(sizes) else np.zeros(0, np.uint8)
+        starts = ((ends - ends[0]) // width).tolist()
+        view = memoryview(every)
+        at, begin, size, ids, crc, sequence, offset = [], [], [], [], [], [], []
         number = part << 32
         while rounds.left:
             full = window if rounds.left >= window else 1 << (rounds.left.bit_length() - 1)
@@ -202,13 +263,17 @@ def pack(tokens: DataFrame, *, window: int = 4096, shares: dict[str | None, floa
                 at.append(d)
                 begin.append(s)
                 size.append(n)
-                ids.append(buffers[d].slice(4 * s, 4 * n).to_pybytes())
+                piece = view[4 * (starts[d] + s) : 4 * (starts[d] + s + n)]
+                crc.append(zlib.crc32(piece))
+                if with_ids:
+                    ids.append(bytes(piece))
                 sequence.append(number)
                 offset.append(place)
                 place += n
             number += 1
         whole = docs.column("id").take(pa.array(at, pa.int64()))
-        return pa.table({"id": whole, "start": pa.array(begin, pa.int64()), "length": pa.array(size, pa.int64()), "ids": pa.array(ids, pa.binary()), "ids_crc32": pa.array([zlib.crc32(x) for x in ids], pa.int64()), "doc_tokens": pa.array([sizes[i] for i in at], pa.int64()), "sequence_id": pa.array(sequence, pa.int64()), "offset": pa.array(offset, pa.int64())})
+        real = {"ids": pa.array(ids, pa.binary())} if with_ids else {}
+        return pa.table({"id": whole, "start": pa.array(begin, pa.int64()), "length": pa.array(size, pa.int64()), **real, "ids_crc32": pa.array(crc, pa.int64()), "doc_tokens": pa.array([sizes[i] for i in at], pa.int64()), "sequence_id": pa.array(sequence, pa.int64()), "offset": pa.array(offset, pa.int64())})
 
-    schema = f"id {kind}, start bigint, length bigint, ids binary, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
+    schema = f"id {kind}, start bigint, length bigint, {'ids binary, ' if with_ids else ''}ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
     return dealt.groupBy("part").cogroup(owed.groupBy("part")).applyInArrow(run, schema)

@@ -45,7 +45,7 @@ def op6_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokens = packing.tokenise(table(spark, sf_dir, "documents", "doc_id", "text", "source"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
-    return packing.pack(tokens).select(F.col("id").alias("doc_id"), "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+    return packing.pack(tokens, with_ids=False).select(F.col("id").alias("doc_id"), "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:

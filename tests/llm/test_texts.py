@@ -271,8 +271,9 @@ def test_word_tokens_equal_the_library():
     assert words.apart
     import array
 
-    texts = [t or "" for t in ODD]
-    assert [array.array("i", x).tolist() for x in words.encode(texts)] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
+    texts = [t or "" for t in ODD] + ["<|ENDOFTEXT|> x", "A. b, c.. d., e.\nf,\n g.", "İstanbul ΣΑΣ ﬁﬂ Ångström e\u0301t\u00e9", "\u0301 x\u0301 \u0301y"]
+    for _ in range(2):
+        assert [array.array("H", x).tolist() for x in words.encode([t.encode() for t in texts])] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
 
 
 def plain_table(names, size):
