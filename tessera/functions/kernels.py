@@ -24,6 +24,20 @@ class Edges:
         flat = column.flatten()
         return cls(np.array([flat.field(n).to_numpy(zero_copy_only=False) for n in ("l", "yl", "r", "yr", "s")]).reshape(5, -1), np.concatenate([[0], np.cumsum(sizes)]))
 
+    def take(self, which: np.ndarray) -> "Edges":
+        """The polygons at these places, in this order, repeats allowed."""
+        size = np.diff(self.first)[which]
+        ends = np.cumsum(size)
+        i = np.repeat(self.first[which] - ends + size, size) + np.arange(size.sum())
+        return Edges(np.array([x[i] for x in (self.l, self.yl, self.r, self.yr, self.s)]).reshape(5, -1), np.concatenate([[0], ends]))
+
+    @classmethod
+    def of_boxes(cls, xmin: np.ndarray, ymin: np.ndarray, xmax: np.ndarray, ymax: np.ndarray) -> "Edges":
+        """Lower and upper edges of rectangles."""
+        pair = lambda a, b: np.stack([a, b], 1).ravel()
+        y = pair(ymin, ymax)
+        return cls(np.array([pair(xmin, xmin), y, pair(xmax, xmax), y, np.tile([-1.0, 1.0], len(xmin))]), 2 * np.arange(len(xmin) + 1))
+
     def __len__(self) -> int:
         return len(self.first) - 1
 

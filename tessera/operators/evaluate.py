@@ -7,11 +7,15 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+BINS = 4096
+
+
 def top1_stats(found: DataFrame, threshold: float = 0.8) -> DataFrame:
     """One row about the similarity (1 - distance) of each query's nearest: n, mean, median, p10, p90, n_similar, pct_similar.
 
     Quantiles are the values at places n/2, n/10 and 9n/10 (whole numbers, from 0) in ascending
-    order; ranks come from counts of equal values, so no list of all values is gathered.
+    order. Ranks come from counts of equal values, summed up within bins of the similarity and over
+    the bins, of which there are no more than ``BINS`` + 1: nothing is sorted in one place.
     """
     s = found.filter("rank = 1").select((1 - F.col("distance")).alias("s"))
     total = s.agg(F.count("*").alias("n"), F.avg("s").alias("mean"), F.count_if(F.col("s") >= threshold).alias("n_similar")).first()
@@ -20,7 +24,10 @@ def top1_stats(found: DataFrame, threshold: float = 0.8) -> DataFrame:
     places = {"median": n // 2, "p10": n // 10, "p90": 9 * n // 10}
     values = {k: None for k in places}
     if n:
-        upto = s.groupBy("s").agg(F.count("*").alias("m")).withColumn("upto", F.sum("m").over(W.orderBy("s")))
+        values_ = s.groupBy("s").agg(F.count("*").alias("m")).withColumn("bin", F.floor(F.col("s") * BINS))
+        bins = values_.groupBy("bin").agg(F.sum("m").alias("m"))
+        before = bins.select("bin", (F.sum("m").over(W.orderBy("bin")) - F.col("m")).alias("before"))
+        upto = values_.join(before, "bin").withColumn("upto", F.col("before") + F.sum("m").over(W.partitionBy("bin").orderBy("s")))
         got = upto.agg(*[F.min(F.when(F.col("upto") > p, F.col("s"))).alias(k) for k, p in places.items()]).first()
         values = got.asDict()
     share = 100.0 * total["n_similar"] / n if n else None

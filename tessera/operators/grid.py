@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import geometry as g
+from tessera.functions.kernels import Edges, overlap_pairs
 
 GRID = 25
 #: A fill ratio of no more is what rounding leaves of none.
@@ -44,18 +49,35 @@ def fill_ratio(edges: Column, box: Column) -> Column:
 def sketch_cells(polygons: DataFrame, box: Row, size: int = GRID) -> DataFrame:
     """(id, cell_id, fill) of the cells that each polygon covers in part or whole.
 
-    A polygon meets only the cells that its own box touches, found by arithmetic: no join with the grid.
+    A polygon meets only the cells that its own box touches, found by arithmetic: no join with
+    the grid, and no row for a cell that stays empty. Overlaps are worked out for many pairs at once.
     """
-    sx, sy = (box["xmax"] - box["xmin"]) / size, (box["ymax"] - box["ymin"]) / size
+    kind = polygons.schema["id"].dataType.simpleString()
+    x0, y0 = box["xmin"], box["ymin"]
+    sx, sy = (box["xmax"] - x0) / size, (box["ymax"] - y0) / size
     if not sx > 0 or not sy > 0:
         return polygons.select("id", F.lit(0).cast("bigint").alias("cell_id"), F.lit(0.0).alias("fill")).limit(0)
-    at = lambda v, low, step: F.least(F.greatest(F.floor((v - F.lit(low)) / F.lit(step)), F.lit(0)), F.lit(size - 1)).cast("int")
-    b = F.col("_box")
-    boxed = polygons.select("id", g.edges(F.col("rings")).alias("_edges"), g.mbr(F.col("rings")).alias("_box"))
-    rows = boxed.select("id", "_edges", "_box", F.explode(F.sequence(at(b["ymin"], box["ymin"], sy), at(b["ymax"], box["ymin"], sy))).alias("r"))
-    cells = rows.select("id", "_edges", "r", F.explode(F.sequence(at(b["xmin"], box["xmin"], sx), at(b["xmax"], box["xmin"], sx))).alias("c"))
-    filled = cells.select("id", (F.col("r") * size + F.col("c")).cast("bigint").alias("cell_id"), "_edges", _cell_box(F.col("r"), F.col("c"), box, size).alias("_cell"))
-    return filled.select("id", "cell_id", fill_ratio(F.col("_edges"), F.col("_cell")).alias("fill")).filter(F.col("fill") > LEAST_FILL)
+    rows = polygons.select("id", g.edges(F.col("rings")).alias("edges"), g.mbr(F.col("rings")).alias("box"))
+
+    def cover(b: pa.RecordBatch) -> pa.RecordBatch:
+        edges, own = Edges.of(b.column("edges")), b.column("box")
+        at = lambda name, low, step: np.clip(np.nan_to_num(np.floor((own.field(name).to_numpy(zero_copy_only=False) - low) / step)), 0, size - 1).astype(int)
+        c0, c1, r0, r1 = at("xmin", x0, sx), at("xmax", x0, sx), at("ymin", y0, sy), at("ymax", y0, sy)
+        wide = c1 - c0 + 1
+        n = wide * (r1 - r0 + 1)
+        which = np.repeat(np.arange(len(n)), n)
+        k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        r, c = r0[which] + k // wide[which], c0[which] + k % wide[which]
+        left, low = x0 + c * sx, y0 + r * sy
+        fill = overlap_pairs(edges.take(which), Edges.of_boxes(left, low, left + sx, low + sy)) / ((left + sx - left) * (low + sy - low))
+        keep = fill > LEAST_FILL
+        return pa.RecordBatch.from_arrays([b.column("id").take(pa.array(which[keep])), pa.array((r * size + c)[keep], pa.int64()), pa.array(fill[keep])], names=["id", "cell_id", "fill"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield from (cover(b.slice(i, 256)) for i in range(0, b.num_rows, 256))
+
+    return rows.mapInArrow(run, f"id {kind}, cell_id bigint, fill double")
 
 
 def sketches(polygons: DataFrame, box: Row, size: int = GRID) -> DataFrame:
