@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.llm.common import content_digest, exists, fresh_path
+from tessera.llm.common import content_digest, exists, fresh_path, stored
 
 LEDGER_SCHEMA = "blob string, kind string, rule_version string, spans array<struct<start:bigint,end:bigint>>"
 
@@ -110,11 +110,13 @@ def scan_versions(versions: DataFrame, *, text_col: str = "text", ledger: str |
     for i, r in enumerate(rules):
         place = F.when(F.col("kind") == r.kind, F.lit(i)).otherwise(place)
     hits = read_ledger(spark, ledger, rules).filter(F.size("spans") > 0)
-    by_blob = (
+    # stored, so that the join below can split a hot blob
+    by_blob = stored(
         hits.select("blob", "kind", place.alias("place"), F.explode("spans").alias("s"))
         .groupBy("blob")
         .agg(F.sort_array(F.collect_list(F.struct(F.col("s.start").alias("start"), "place", F.col("s.end").alias("end"), "kind"))).alias("sorted"))
-        .select("blob", F.transform("sorted", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"))).alias("findings"))
+        .select("blob", F.transform("sorted", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"))).alias("findings")),
+        "findings",
     )
     none = F.array().cast("array<struct<start:bigint,end:bigint,kind:string>>")
     return named.withColumn("blob", content_digest(text)).join(by_blob, "blob", "left").withColumn("findings", F.coalesce("findings", none))
