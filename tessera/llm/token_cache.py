@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bytes_digest, content_digest, exists, file_bytes, fresh_path
+from tessera.llm.common import bytes_digest, content_digest, exists, file_bytes, fresh_path, stored
 
 CACHE_SCHEMA = "digest string, tokenizer string, n_bytes bigint, n_tokens bigint"
 _LOADED: dict[str, object] = {}
@@ -81,12 +81,16 @@ def count_tokens(df: DataFrame, tokenizer_path: str, *, text_col: str = "text",
     base = df.drop("digest", "n_bytes", "n_tokens")
     addressed = base.select(content_digest(content).alias("digest"), content.alias("content"))
     cache = cache or fresh_path(spark, "token-cache")
-    if exists(spark, cache):
+    old = exists(spark, cache)
+    if old:
         known = spark.read.schema(CACHE_SCHEMA).parquet(cache).filter(F.col("tokenizer") == version).select("digest")
         addressed = addressed.join(known.distinct(), "digest", "left_anti")
     misses = addressed.groupBy("digest").agg(F.first("content").alias("content"))
     misses = misses.select("digest", "content", F.octet_length("content").cast("long").alias("n_bytes"))
     misses.mapInArrow(encode, CACHE_SCHEMA).write.mode("append").option("compression", "zstd").parquet(cache)
 
-    counts = spark.read.schema(CACHE_SCHEMA).parquet(cache).filter(F.col("tokenizer") == version).groupBy("digest").agg(F.first("n_bytes").alias("n_bytes"), F.first("n_tokens").alias("n_tokens"))
+    counts = spark.read.schema(CACHE_SCHEMA).parquet(cache).filter(F.col("tokenizer") == version).select("digest", "n_bytes", "n_tokens")
+    if old:
+        # two runs at once may have added the same content; stored, so that the join below can split a hot digest
+        counts = stored(counts.dropDuplicates(["digest"]), "counts")
     return base.withColumn("digest", content_digest(content)).join(counts, "digest", "left")
