@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tessera.functions import geometry as g
 from tessera.functions.kernels import Edges, overlap_pairs
 
+# Fixed value: cells along a side.
 GRID = 25
 #: A fill ratio of no more is what rounding leaves of none.
 LEAST_FILL = 1e-12

@@ -18,22 +18,30 @@ from tessera.functions import geometry as g
 from tessera.functions.kernels import first_hits
 
 
+# Tables, values of a signature, and the seeds of table h and place i.
+TABLES = 2
+LENGTH = 1
+SEED = 100
+SEED_PER_TABLE = 123
+SEED_PER_PLACE = 17
+
+
 @dataclass(frozen=True)
 class Darts:
     """``tables`` signatures of ``length`` values each; a value is null if none of ``attempts`` points hits.
 
-    The seed of table h, place i is ``base`` + 123 h + 17 i.
+    The seed of table h, place i is ``base`` + SEED_PER_TABLE h + SEED_PER_PLACE i.
     """
 
-    tables: int = 2
-    length: int = 1
+    tables: int = TABLES
+    length: int = LENGTH
     attempts: int = 4096
-    base: int = 100
+    base: int = SEED
 
     def unit(self, table: int, place: int) -> tuple[np.ndarray, np.ndarray]:
         """Points in the unit square: 64-bit fractions from pairs of 32-bit Mersenne Twister words, x before y."""
         bits = np.random.MT19937()
-        bits._legacy_seeding(self.base + 123 * table + 17 * place)
+        bits._legacy_seeding(self.base + SEED_PER_TABLE * table + SEED_PER_PLACE * place)
         words = bits.random_raw(4 * self.attempts).astype(np.float64).reshape(-1, 2, 2)
         u = np.minimum((words[:, :, 0] + words[:, :, 1] * 2.0**32) / 2.0**64, np.nextafter(1.0, 0.0))
         return u[:, 0], u[:, 1]

@@ -145,8 +145,14 @@ class LshIndex:
         return self.signed.join(self.members, "shape").select("table_id", "hash", "id")
 
     def bucket_sizes(self) -> DataFrame:
+        """(table_id, hash, size); its rows are the keys in use."""
         return self.buckets().groupBy("table_id", "hash").agg(F.count("*").alias("size"))
 
+    def lookup(self, table_id: int, signature: list[int]) -> DataFrame:
+        """Ids in the bucket of one signature."""
+        key = F.array(*[F.lit(v).cast("bigint") for v in signature])
+        return self.signed.filter((F.col("table_id") == table_id) & (F.col("hash") == key)).join(self.members, "shape").select("id")
+
     def shape_candidates(self, queries: DataFrame) -> DataFrame:
         """Distinct (qshape, shape) that share a bucket in any table; ``queries``: as ``shaped`` gives."""
         shapes = queries.groupBy("shape").agg(F.first("rings").alias("rings"), F.first("n_parts").alias("n_parts"))

@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Columns of the comparison file.
+# The words of result files and the columns of the comparison file.
+QUERY_LINE = "Query ID: "
+NEIGHBOUR_LINE = "Neighbor ID: "
+DISTANCE_PART = ", Distance: "
 EVAL_COLUMNS = ["query_id", "avg_recall", "mse", "false_positive_rate", "total_lsh_neighbors", "total_bf_neighbors", "total_matched_neighbors"]
 
 
@@ -26,9 +29,9 @@ def six_digits(value: Column) -> Column:
 
 def result_blocks(found: DataFrame) -> DataFrame:
     """``value``: for each query a block of its id and its neighbours in order; distances with six digits."""
-    line = F.concat(F.lit("Neighbor ID: "), F.col("neighbor_id"), F.lit(", Distance: "), six_digits(F.col("distance")))
+    line = F.concat(F.lit(NEIGHBOUR_LINE), F.col("neighbor_id"), F.lit(DISTANCE_PART), six_digits(F.col("distance")))
     lists = found.withColumn("line", line).groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", "line"))).alias("l"))
-    return lists.select(F.concat(F.lit("Query ID: "), "query_id", F.lit("\n"), F.array_join(F.transform("l", lambda x: x["line"]), "\n"), F.lit("\n")).alias("value"))
+    return lists.select(F.concat(F.lit(QUERY_LINE), "query_id", F.lit("\n"), F.array_join(F.transform("l", lambda x: x["line"]), "\n"), F.lit("\n")).alias("value"))
 
 
 def write_results(found: DataFrame, path: str) -> None:

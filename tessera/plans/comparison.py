@@ -9,6 +9,8 @@ import sys
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
 
 from tessera.operators import evaluate, search, sinks
 from tessera.operators.minhash import Darts, signature_stats, signatures
@@ -26,14 +28,23 @@ class Comparison:
     stats: DataFrame
 
 
-def compare(data: DataFrame, queries: DataFrame, k: int = 10, darts: Darts = Darts(), ring: str = "exterior", count_empty: bool = False) -> Comparison:
+def _rounded(found: DataFrame) -> DataFrame:
+    digits = found.withColumn("distance", sinks.six_digits(F.col("distance")).cast("double"))
+    order = W.partitionBy("query_id").orderBy("distance", "neighbor_id")
+    return digits.withColumn("rank", F.row_number().over(order).cast("bigint"))
+
+
+def compare(data: DataFrame, queries: DataFrame, k: int = 10, darts: Darts = Darts(), ring: str = "exterior", count_empty: bool = False, text_roundtrip: bool = False) -> Comparison:
     """Both searches over polygons (id, rings, n_parts), and how they differ.
 
     ``count_empty``: queries without approximate neighbours count as zeros in the averages.
+    ``text_roundtrip``: distances have the six digits of result files before they are ranked.
     """
     d, q = search.centred(data), search.centred(queries)
     index = search.LshIndex.fit(d, darts, ring)
     approx, exact = index.knn(q, k), search.exact_knn(q, d, k)
+    if text_roundtrip:
+        approx, exact = _rounded(approx), _rounded(exact)
     by_query = evaluate.per_query(approx, exact)
     return Comparison(approx, exact, index.pruning(q), evaluate.top1_stats(approx), by_query, evaluate.overall(by_query, exact if count_empty else None), signature_stats(d, signatures(d, index.box, darts, ring), index.box))
 

@@ -7,11 +7,12 @@ from __future__ import annotations
 
 from functools import cache
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import geometry as g
-from tessera.operators import evaluate, grid, minhash, search, sinks
+from tessera.operators import evaluate, grid, minhash, search, sinks, weighted
 from tessera.sources import polygons as sources
 from tessera.sources.derived import ell, octagon, polygons
 
@@ -19,6 +20,7 @@ K = 10
 #: Enough points for the smallest octagon: it covers over a twentieth of the box.
 DARTS = minhash.Darts(attempts=512)
 SIZE = 25
+ATTEMPTS = 1024
 
 
 def _part(spark: SparkSession, sf: str, shape=octagon) -> DataFrame:
@@ -125,6 +127,28 @@ def jaccard_distance(spark, sf):
     return a.join(b, "id").select("id", g.jaccard_distance(g.overlap_area(F.col("ea"), F.col("eb")), F.col("aa"), F.col("ab")).alias("distance"))
 
 
+def polygon_coordinates(spark, sf):
+    """The outer ring's points as they are given."""
+    p = _part(spark, sf).select("id", F.posexplode(g.exterior(F.col("rings"))).alias("i", "q"))
+    return p.select("id", F.col("i").cast("bigint").alias("i"), "q.x", "q.y")
+
+
+def similarity(spark, sf):
+    """1 - distance of each found neighbour."""
+    return lsh_knn(spark, sf).select("query_id", "neighbor_id", (1 - F.col("distance")).alias("similarity"))
+
+
+def sketch_minhash(spark, sf):
+    """First draws below the sketch, on a grid of 8 x 8 cells."""
+    cells = grid.sketch_cells(_sides(spark, sf)[1], _box(spark, sf), 8)
+    return weighted.rejection_hashes(cells, weighted.rejection_points(spark, 64, attempts=ATTEMPTS)).withColumn("table_id", F.col("table_id").cast("bigint"))
+
+
+def consistent_minhash(spark, sf):
+    cells = grid.sketch_cells(_sides(spark, sf)[1], _box(spark, sf), 8)
+    return weighted.consistent_hashes(cells, weighted.consistent_parameters(spark, 64)).withColumn("table_id", F.col("table_id").cast("bigint"))
+
+
 def darts(spark, sf):
     return minhash.darts_table(spark, _box(spark, sf), DARTS)
 
@@ -149,6 +173,12 @@ def lsh_buckets(spark, sf):
     return b
 
 
+def bucket_contents(spark, sf):
+    """Each bucket with its ids in order."""
+    b = lsh_buckets(spark, sf).groupBy("table_id", "hash0").agg(F.sort_array(F.collect_list("id")).alias("ids"))
+    return b.select("table_id", "hash0", F.array_join("ids", ",").alias("ids"))
+
+
 def bucket_sizes(spark, sf):
     return _index(spark, sf).bucket_sizes().select(F.col("table_id").cast("bigint").alias("table_id"), F.get("hash", F.lit(0)).alias("hash0"), "size")
 
@@ -197,7 +227,7 @@ def result_text_roundtrip(spark, sf):
     return sources.parse_results(sinks.result_blocks(lsh_knn(spark, sf)))
 
 
-QUERIES = {f.__name__: f for f in (scan_polygons, center_polygon, polygon_area, polygon_centroid, polygon_mbr, global_mbr, grid_cells, fill_ratio, sketch, occupied_cells, sketch_jaccard, sketch_join_distance, point_in_polygon, jaccard_distance, darts, minhash_signatures, minhash_by_cells, signature_stats, lsh_buckets, bucket_sizes, lsh_candidates, lsh_knn, bf_knn, pruning_ratio, top1_stats, eval_per_query, eval_global, eval_global_all, result_text_roundtrip)}
+QUERIES = {f.__name__: f for f in (scan_polygons, center_polygon, polygon_area, polygon_centroid, polygon_mbr, global_mbr, grid_cells, fill_ratio, sketch, occupied_cells, sketch_jaccard, sketch_join_distance, point_in_polygon, jaccard_distance, polygon_coordinates, similarity, sketch_minhash, consistent_minhash, darts, minhash_signatures, minhash_by_cells, signature_stats, lsh_buckets, bucket_contents, bucket_sizes, lsh_candidates, lsh_knn, bf_knn, pruning_ratio, top1_stats, eval_per_query, eval_global, eval_global_all, result_text_roundtrip)}
 
 
 # --- SQL -----------------------------------------------------------------------------------------
@@ -275,7 +305,32 @@ _OVERALL = """SELECT count(*) AS queries, round(avg(coalesce(precision_at_k, 0))
 _SKETCH_PAIR = f"WITH {_PART}, {_SUPP}, {_BOX}, {_grid(8)}, {_fills('d', 8)}, {_fills('q', 8)}, pairs AS (SELECT d.id, coalesce(x.fill, 0) AS a, coalesce(y.fill, 0) AS b FROM d JOIN q ON d.id = q.id CROSS JOIN g LEFT JOIN d_f x ON x.id = d.id AND x.cell_id = g.cell_id LEFT JOIN q_f y ON y.id = q.id AND y.cell_id = g.cell_id) "
 _SIGNED = f"WITH {_PART}, {_darts_sql()}, {_hashes('d')} "
 
+@cache
+def _rejection_sql() -> str:
+    rows = []
+    for h in range(2):
+        rng = np.random.RandomState(100 + h)
+        draws = zip(rng.randint(0, 64, ATTEMPTS).tolist(), rng.random_sample(ATTEMPTS).tolist(), strict=True)
+        rows += [f"({h}, {n}, {c}, CAST('{u!r}' AS DOUBLE))" for n, (c, u) in enumerate(draws, 1)]
+    return f"x AS (SELECT * FROM (VALUES {', '.join(rows)}) v(table_id, attempt, cell_id, u))"
+
+
+@cache
+def _consistent_sql() -> str:
+    rng = np.random.RandomState(100)
+    r, c, beta = rng.gamma(2, 1, (2, 64)).tolist(), rng.gamma(2, 1, (2, 64)).tolist(), rng.random_sample((2, 64)).tolist()
+    rows = [f"({h}, {i}, CAST('{r[h][i]!r}' AS DOUBLE), CAST('{c[h][i]!r}' AS DOUBLE), CAST('{beta[h][i]!r}' AS DOUBLE))" for h in range(2) for i in range(64)]
+    return f"x AS (SELECT * FROM (VALUES {', '.join(rows)}) v(table_id, cell_id, r, c, beta))"
+
+
+_FILLED = f"WITH {_PART}, {_BOX}, {_grid(8)}, {_fills('d', 8)}"
+
 ORACLE_SQL = {
+    "polygon_coordinates": f"WITH {_PART} SELECT id, CAST(i - 1 AS BIGINT) AS i, cx + x AS x, cy + y AS y FROM d_v UNION ALL SELECT id, 8, cx + x, cy + y FROM d_v WHERE i = 1",
+    "similarity": f"WITH {_knn()} SELECT query_id, neighbor_id, 1.0E0 - distance AS similarity FROM lsh",
+    "sketch_minhash": f"{_FILLED}, {_rejection_sql()} SELECT id, CAST(table_id AS BIGINT) AS table_id, CAST(min(attempt) AS BIGINT) AS hash FROM d_f JOIN x USING (cell_id) WHERE fill > 1e-12 AND u < fill GROUP BY id, table_id",
+    "consistent_minhash": f"{_FILLED}, {_consistent_sql()}, y AS (SELECT id, table_id, cell_id, CAST(floor(ln(fill) / r + beta) AS BIGINT) AS t, r, c, beta FROM d_f JOIN x USING (cell_id) WHERE fill > 1e-12) SELECT id, CAST(table_id AS BIGINT) AS table_id, arg_min(cell_id, ln(c) - r * (t - beta) - r) AS cell_id, arg_min(t, ln(c) - r * (t - beta) - r) AS t FROM y GROUP BY id, table_id",
+    "bucket_contents": _SIGNED + "SELECT CAST(table_id AS BIGINT) AS table_id, hash0, string_agg(id, ',' ORDER BY id) AS ids FROM d_m GROUP BY table_id, hash0",
     "scan_polygons": f"WITH {_PART} SELECT id, CAST(9 AS BIGINT) AS n_points, area, CAST(1 AS BIGINT) AS n_parts FROM d",
     "center_polygon": f"WITH {_PART} SELECT id, CAST(i - 1 AS BIGINT) AS i, x, y FROM d_v UNION ALL SELECT id, 8, x, y FROM d_v WHERE i = 1",
     "polygon_area": f"WITH {_PART} SELECT id, area, area - 0.25E0 AS area_with_hole FROM d",

@@ -116,6 +116,8 @@ def test_index(spark, tmp_path):
     p = index.pruning(s).first()
     assert p["refined"] == len(candidates) and p["possible"] == 6000 and p["pruned_pct"] == 100 * (1 - len(candidates) / 6000)
     assert index.bucket_sizes().agg(F.sum("size")).first()[0] == index.buckets().count() == 600
+    row = index.buckets().first()
+    assert row["id"] in {r["id"] for r in index.lookup(row["table_id"], row["hash"]).collect()}
     index.save(f"file://{tmp_path}/i")
     again = search.LshIndex.load(spark, f"file://{tmp_path}/i").knn(s, 10)
     assert sorted(map(tuple, again.collect())) == sorted(map(tuple, rows))
@@ -125,6 +127,24 @@ def test_index(spark, tmp_path):
     assert sorted(map(tuple, everything.collect())) == sorted(map(tuple, exact.collect()))
 
 
+def test_weighted_hashes_match_similarity(spark):
+    from tessera.operators import weighted
+
+    cells = spark.createDataFrame([("a", 0, 1.0), ("a", 1, 0.5), ("a", 2, 0.25), ("b", 0, 0.5), ("b", 1, 0.5), ("b", 3, 0.5)], "id string, cell_id bigint, fill double")
+    similarity = 1.0 / 2.25
+    n = 600
+    for hashed, columns in ((weighted.rejection_hashes(cells, weighted.rejection_points(spark, 4, n, 200)), ["hash"]), (weighted.consistent_hashes(cells, weighted.consistent_parameters(spark, 4, n)), ["cell_id", "t"])):
+        got = {(r["id"], r["table_id"]): tuple(r[c] for c in columns) for r in hashed.collect()}
+        equal = sum(got["a", h] == got["b", h] for h in range(n)) / n
+        assert abs(equal - similarity) < 4 * math.sqrt(similarity * (1 - similarity) / n)
+
+
+def test_text_roundtrip(spark):
+    s, d = sides(spark)
+    done = compare(d, s, 4, minhash.Darts(attempts=600), text_roundtrip=True)
+    assert all(r["distance"] == float(f"{r['distance']:.6g}") for r in done.exact.collect()) and done.overall.first()["queries"] == 20
+
+
 def test_evaluation(spark):
     schema = "query_id string, neighbor_id string, distance double, rank bigint"
     approx = spark.createDataFrame([("q", "a", 0.1, 1), ("q", "b", 0.3, 2), ("r", "c", 0.5, 1)], schema)
