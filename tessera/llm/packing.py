@@ -24,10 +24,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bytes_digest, file_bytes, stored
+from tessera.llm.common import bytes_digest, file_bytes, small_batches, stored
 
 #: Entries that a worker remembers; when they are reached it starts again.
-MEMO = 800_000
+MEMO = 500_000
 _LOADED: dict[str, "WordTokens"] = {}
 
 
@@ -204,6 +204,16 @@ class Rounds:
         return out
 
 
+def _before(counts: DataFrame, keys: list[str], run: int = 1024) -> DataFrame:
+    """Adds ``before``: the sum of ``n`` over lower ``part`` with the same keys, first within runs of parts, then over the runs."""
+    runs = counts.withColumn("run", F.floor(F.col("part") / run))
+    ahead = lambda order, *by: W.partitionBy(*by).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    totals = runs.groupBy(*keys, "run").agg(F.sum("n").alias("t")).withColumn("earlier", zero(F.sum("t").over(ahead("run", *keys)))).drop("t")
+    inner = runs.withColumn("inside", zero(F.sum("n").over(ahead("part", *keys, "run"))))
+    return inner.join(totals, [*keys, "run"]).withColumn("before", F.col("earlier") + F.col("inside")).drop("earlier", "inside", "run")
+
+
 def pack(tokens: DataFrame, *, window: int = 4096, shares: dict[str | None, float] | None = None, partition_tokens: int = 1 << 21, least_piece: int = 256, with_ids: bool = True) -> DataFrame:
     """(id, start, length, ids, doc_tokens, sequence_id, offset): every token in exactly one piece.
 
@@ -215,23 +225,22 @@ def pack(tokens: DataFrame, *, window: int = 4096, shares: dict[str | None, floa
     ``partition_tokens``, never less than a whole document. Without ``with_ids`` the ids
     stay behind and only their CRC-32 is given. An empty table gives an empty table.
     """
-    kept = stored(tokens.withColumn("row", F.monotonically_increasing_id()), "tokens")
+    with small_batches(tokens.sparkSession):
+        kept = stored(tokens.withColumn("row", F.monotonically_increasing_id()), "tokens")
     total = kept.agg(F.sum("n_tokens")).first()[0] or 0
     parts = max(1, math.ceil(total / partition_tokens))
     dealt = kept.withColumn("part", F.pmod(F.xxhash64("row"), F.lit(parts)))
-    counts = stored(dealt.groupBy("part", "source").agg(F.sum("n_tokens").alias("n")), "part-tokens")
-    by_part = counts.groupBy("part").agg(F.sum("n").alias("all"))
-    by_source = counts.groupBy("source").agg(F.sum("n").alias("n"))
+    name = F.to_json(F.struct("source"))  # a null source is a source too
+    counts = stored(dealt.groupBy("part", "source").agg(F.sum("n_tokens").alias("n")).withColumn("name", name), "part-tokens")
     if shares is None:
-        wanted = by_source.select("source", (F.col("n") / F.lit(max(1, total))).alias("share"))
+        wanted = counts.groupBy("name").agg((F.sum("n") / F.lit(max(1, total))).alias("share"))
     else:
-        wanted = tokens.sparkSession.createDataFrame([*shares.items()], "source string, share double")
-    before = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)
-    gone = by_part.withColumn("gone", F.coalesce(F.sum("all").over(before), F.lit(0))).select("part", "gone")
+        wanted = tokens.sparkSession.createDataFrame([*shares.items()], "source string, share double").select(name.alias("name"), "share")
     # what a source is owed where a partition starts: its share of all tokens before, less its own
-    own = W.partitionBy("source").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
-    owed = counts.withColumn("own", F.coalesce(F.sum("n").over(own), F.lit(0))).join(gone, "part")
-    owed = owed.join(wanted, owed["source"].eqNullSafe(wanted["source"]), "left").select("part", owed["source"], F.coalesce("share", F.lit(0.0)).alias("share"), (F.coalesce("share", F.lit(0.0)) * F.col("gone") - F.col("own")).alias("deficit"))
+    gone = _before(counts.groupBy("part").agg(F.sum("n").alias("n")), []).select("part", F.col("before").alias("gone"))
+    owed = _before(counts, ["name"]).join(gone, "part").join(wanted, "name", "left")
+    share = F.coalesce("share", F.lit(0.0))
+    owed = owed.select("part", "source", share.alias("share"), (share * F.col("gone") - F.col("before")).alias("deficit"))
     kind = dict(tokens.dtypes)["id"]
 
     def run(docs: pa.Table, start: pa.Table) -> pa.Table:

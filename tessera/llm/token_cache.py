@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bytes_digest, content_digest, exists, file_bytes, fresh_path, stored
+from tessera.llm.common import bytes_digest, content_digest, exists, file_bytes, fresh_path, small_batches, stored
 
 CACHE_SCHEMA = "digest string, tokenizer string, n_bytes bigint, n_tokens bigint"
 _LOADED: dict[str, object] = {}
@@ -87,7 +87,8 @@ def count_tokens(df: DataFrame, tokenizer_path: str, *, text_col: str = "text",
         addressed = addressed.join(known.distinct(), "digest", "left_anti")
     misses = addressed.groupBy("digest").agg(F.first("content").alias("content"))
     misses = misses.select("digest", "content", F.octet_length("content").cast("long").alias("n_bytes"))
-    misses.mapInArrow(encode, CACHE_SCHEMA).write.mode("append").option("compression", "zstd").parquet(cache)
+    with small_batches(spark):
+        misses.mapInArrow(encode, CACHE_SCHEMA).write.mode("append").option("compression", "zstd").parquet(cache)
 
     counts = spark.read.schema(CACHE_SCHEMA).parquet(cache).filter(F.col("tokenizer") == version).select("digest", "n_bytes", "n_tokens")
     if old:
