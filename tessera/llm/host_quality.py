@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from tessera.llm.common import stored
 
 _BLANK = r"\x20\x09-\x0D"
+#: A host goes if its shrunk failure rate is over this: its good documents go with it, so four of five must fail.
+MOST_RATE = 0.8
 #: Names of the columns that ``text_features`` adds.
 FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
 
@@ -81,7 +83,7 @@ def host_rates(features: DataFrame, *, host_col: str = "source", failed_col: str
     return shrink(stored(counted, "hosts"))
 
 
-def judge(docs: DataFrame, *, id_cols: tuple[str, ...] = ("doc_id",), text_col: str = "text", host_col: str = "source", most_rate: float = 0.5) -> DataFrame:
+def judge(docs: DataFrame, *, id_cols: tuple[str, ...] = ("doc_id",), text_col: str = "text", host_col: str = "source", most_rate: float = MOST_RATE) -> DataFrame:
     """One row for each document: ``id_cols``, the features, ``shrunk_rate`` of its host (null without one) and ``kept``.
 
     ``kept`` is false if the text fails, or its host's shrunk failure rate is over ``most_rate``.
@@ -95,7 +97,7 @@ def judge(docs: DataFrame, *, id_cols: tuple[str, ...] = ("doc_id",), text_col:
     return features.join(rates, "_host", "left").withColumn("kept", ~F.col("base_failed") & ~bad).drop("_host")
 
 
-def keep_good(docs: DataFrame, *, text_col: str = "text", host_col: str = "source", most_rate: float = 0.5) -> DataFrame:
+def keep_good(docs: DataFrame, *, text_col: str = "text", host_col: str = "source", most_rate: float = MOST_RATE) -> DataFrame:
     """The documents that ``judge`` keeps, with all their columns.
 
     Texts don't move: the rejected hosts are a small table, which Spark broadcasts if its size

@@ -99,7 +99,7 @@ h AS (SELECT source, CAST(count(*) AS DOUBLE) AS n, CAST(count(*) FILTER (WHERE
 a AS (SELECT sum(n) AS n, sum(x) AS x, count(*) AS hosts, sum(x * x / n) AS xx, sum(n * n) AS nn, sum(x) / sum(n) AS mean FROM h),
 v AS (SELECT n, mean, CASE WHEN hosts > 1 AND mean > 0 AND mean < 1 THEN (xx - n * mean * mean - mean * (1 - mean) * (hosts - 1)) / (n - nn / n) ELSE 0 END AS spread FROM a),
 k AS (SELECT mean, CASE WHEN spread > 0 THEN least(n, greatest(1.0, mean * (1 - mean) / spread - 1)) ELSE n END AS strength FROM v),
-bad AS (SELECT source FROM h, k WHERE (x + mean * strength) / (n + strength) > 0.5)
+bad AS (SELECT source FROM h, k WHERE (x + mean * strength) / (n + strength) > 0.8)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce(source NOT IN (SELECT source FROM bad), TRUE) AS kept FROM b"""
 
 _FIXITY = r"""

@@ -25,7 +25,7 @@ def plain_quality(docs):
     between = sum(n[h] * (x[h] / n[h] - mean) ** 2 for h in n) - mean * (1 - mean) * (len(n) - 1)
     spread = between / (total - sum(v * v for v in n.values()) / total)
     strength = min(total, max(1.0, mean * (1 - mean) / spread - 1)) if spread > 0 else total
-    bad = {h for h in n if (x[h] + mean * strength) / (n[h] + strength) > 0.5}
+    bad = {h for h in n if (x[h] + mean * strength) / (n[h] + strength) > 0.8}
     return {i: d for i, d in docs.items() if not failed[i] and d["source"] not in bad}
 
 
