@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from tessera.llm.common import bytes_digest, file_bytes, small_batches, stored
 
 #: Entries that a worker remembers; when they are reached it starts again.
-MEMO = 500_000
+MEMO = 1_000_000
 _LOADED: dict[str, "WordTokens"] = {}
 
 
