@@ -20,6 +20,7 @@ from tessera.functions import geometry as g
 from tessera.functions.kernels import Edges, distances, overlap_matrix, overlap_pairs
 from tessera.operators.grid import global_mbr
 from tessera.operators.minhash import Darts, signatures
+from tessera.session import stored
 
 
 def centred(polygons: DataFrame) -> DataFrame:
@@ -60,12 +61,13 @@ def exact_knn(queries: DataFrame, data: DataFrame, k: int = 10, block: int = 102
 
     Shapes of both sides are dealt into blocks; a task takes one block of each, works out
     their distances as a matrix and hands on only the best k of each query. No row is made for a
-    pair. Pairs whose union has no area have no distance and are left out.
+    pair. Pairs whose union has no area have no distance and are left out. The distinct shapes are
+    kept in the shared folder: they are counted before they are dealt.
     """
     q, d = shaped(queries), shaped(data)
-    left = q.groupBy("shape").agg(F.first("edges").alias("edges"))
-    right = _members(d, k)
-    n_left, n_right = (max(1, math.ceil(x.select("shape").distinct().count() / block)) for x in (q, d))
+    left = stored(q.groupBy("shape").agg(F.first("edges").alias("edges")), "query-shapes")
+    right = stored(_members(d, k), "shapes")
+    n_left, n_right = (max(1, math.ceil(x.count() / block)) for x in (left, right))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     dealt = lambda n: F.pmod(F.xxhash64("shape"), F.lit(n)).cast("int")
     left = left.select("shape", "edges", dealt(n_left).alias("qb"), every(n_right).alias("db"))
@@ -107,7 +109,8 @@ def pair_distances(pairs: DataFrame, a: str = "edges_a", b: str = "edges_b") ->
 class LshIndex:
     """Signatures of the data's shapes, joined to those of queries on equal (table, hash).
 
-    ``fit`` takes centred polygons. ``save`` and ``load`` keep the index as Parquet: shapes, ids
+    ``fit`` takes centred polygons and keeps what it works out in the shared folder, so that all
+    searches share it. ``save`` and ``load`` keep the index as Parquet at a place of choice: shapes, ids
     and signatures, the latter clustered by table and hash.
     """
 
@@ -118,8 +121,9 @@ class LshIndex:
     def fit(cls, data: DataFrame, darts: Darts = Darts(), ring: str = "exterior", box: Row | None = None) -> "LshIndex":
         box = box or global_mbr(data).first()
         d = shaped(data)
-        shapes = d.groupBy("shape").agg(F.first("edges").alias("edges"), F.first("rings").alias("rings"), F.first("n_parts").alias("n_parts"))
-        return cls(shapes, d.select("shape", "id"), cls._sign(shapes, box, darts, ring), box, darts, ring)
+        shapes = stored(d.groupBy("shape").agg(F.first("edges").alias("edges"), F.first("rings").alias("rings"), F.first("n_parts").alias("n_parts")), "shapes")
+        members = stored(d.select("shape", "id"), "members")
+        return cls(shapes, members, stored(cls._sign(shapes, box, darts, ring), "signatures"), box, darts, ring)
 
     @staticmethod
     def _sign(shapes: DataFrame, box: Row, darts: Darts, ring: str) -> DataFrame:

@@ -13,7 +13,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.operators import evaluate, search, sinks
-from tessera.operators.minhash import Darts, signature_stats, signatures
+from tessera.operators.minhash import Darts, signature_stats
+from tessera.session import stored
 from tessera.sources.polygons import read_wkt_with_id
 
 
@@ -39,14 +40,17 @@ def compare(data: DataFrame, queries: DataFrame, k: int = 10, darts: Darts = Dar
 
     ``count_empty``: queries without approximate neighbours count as zeros in the averages.
     ``text_roundtrip``: distances have the six digits of result files before they are ranked.
+    Polygons and the results of both searches are kept in the shared folder: each is worked
+    out once, whatever is read of the comparison.
     """
-    d, q = search.centred(data), search.centred(queries)
+    d, q = stored(search.centred(data), "data"), stored(search.centred(queries), "queries")
     index = search.LshIndex.fit(d, darts, ring)
     approx, exact = index.knn(q, k), search.exact_knn(q, d, k)
     if text_roundtrip:
         approx, exact = _rounded(approx), _rounded(exact)
-    by_query = evaluate.per_query(approx, exact)
-    return Comparison(approx, exact, index.pruning(q), evaluate.top1_stats(approx), by_query, evaluate.overall(by_query, exact if count_empty else None), signature_stats(d, signatures(d, index.box, darts, ring), index.box))
+    approx, exact = stored(approx, "approx"), stored(exact, "exact")
+    by_query = stored(evaluate.per_query(approx, exact), "by-query")
+    return Comparison(approx, exact, index.pruning(q), evaluate.top1_stats(approx), by_query, evaluate.overall(by_query, exact if count_empty else None), signature_stats(d, index.buckets(), index.box))
 
 
 def main(args: list[str]) -> None:
