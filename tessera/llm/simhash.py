@@ -8,7 +8,7 @@ equal bits at a chain's start are the join key; the further budgets prune the ca
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import partial
 from itertools import combinations
 
@@ -136,16 +136,21 @@ def fingerprint_hex(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
+def choose_rows(docs: DataFrame, found: DataFrame, mark: Callable[[DataFrame], DataFrame], *, id_col: str) -> DataFrame:
+    """One row of each component of ``found`` (id, _fp, component_id, root), one for each row of ``docs``; ``mark`` adds a row's _fp again."""
+    chosen = found.filter(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
+    named = docs.join(chosen, id_col, "left_semi").dropDuplicates([id_col])
+    lone = found.filter(F.col("component_id").isNull()).select("_fp", F.col("root").alias("_root")).distinct()
+    nameless = mark(docs.filter(F.col(id_col).isNull())).join(lone, "_fp").dropDuplicates(["_root"])
+    return named.select(*docs.columns).unionByName(nameless.select(*docs.columns))
+
+
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """One document of each component of ``near_duplicates``, with all its columns: the one with the least id.
 
     Of rows that repeat that id one stays. Rows with no id stay only where their whole
     component has none, one of each such component. An empty table gives an empty table.
     """
-    found = near_duplicates(docs, id_col=id_col, text_col=text_col, **options)
-    chosen = found.filter(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
-    named = docs.join(chosen, id_col, "left_semi").dropDuplicates([id_col])
-    lone = found.filter(F.col("component_id").isNull()).select(F.col("fingerprint").alias("_fp"), F.col("root").alias("_root")).distinct()
-    marked = fingerprints(docs.filter(F.col(id_col).isNull()), text_col=text_col, out="_fp", keep_text=True, **{k: v for k, v in options.items() if k in ("words", "seed")})
-    nameless = marked.join(lone, "_fp").dropDuplicates(["_root"])
-    return named.select(*docs.columns).unionByName(nameless.select(*docs.columns))
+    found = near_duplicates(docs, id_col=id_col, text_col=text_col, **options).withColumnRenamed("fingerprint", "_fp")
+    how = {k: v for k, v in options.items() if k in ("words", "seed")}
+    return choose_rows(docs, found, lambda d: fingerprints(d, text_col=text_col, out="_fp", keep_text=True, **how), id_col=id_col)
