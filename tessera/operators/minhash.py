@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import count, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,7 @@ SEED_PER_PLACE = 17
 
 @dataclass(frozen=True)
 class Darts:
-    """``tables`` signatures of ``length`` values each; a value is null if none of ``attempts`` points hits.
+    """``tables`` signatures of ``length`` values each; ``attempts``: points in the first block, after which drawing goes on for polygons not hit yet.
 
     The seed of table h, place i is ``base`` + SEED_PER_TABLE h + SEED_PER_PLACE i.
     """
@@ -38,21 +39,31 @@ class Darts:
     attempts: int = 4096
     base: int = SEED
 
-    def unit(self, table: int, place: int) -> tuple[np.ndarray, np.ndarray]:
-        """Points in the unit square: 64-bit fractions from pairs of 32-bit Mersenne Twister words, x before y."""
+    def blocks(self, table: int, place: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Points in the unit square without end: 64-bit fractions from pairs of 32-bit Mersenne Twister words, x before y. The first block has ``attempts``."""
         bits = np.random.MT19937()
         bits._legacy_seeding(self.base + SEED_PER_TABLE * table + SEED_PER_PLACE * place)
-        words = bits.random_raw(4 * self.attempts).astype(np.float64).reshape(-1, 2, 2)
-        u = np.minimum((words[:, :, 0] + words[:, :, 1] * 2.0**32) / 2.0**64, np.nextafter(1.0, 0.0))
-        return u[:, 0], u[:, 1]
+        n = self.attempts
+        for more in count(16):
+            words = bits.random_raw(4 * n).astype(np.float64).reshape(-1, 2, 2)
+            u = np.minimum((words[:, :, 0] + words[:, :, 1] * 2.0**32) / 2.0**64, np.nextafter(1.0, 0.0))
+            yield u[:, 0], u[:, 1]
+            n = 1 << min(more, 20)
+
+    def unit(self, table: int, place: int) -> tuple[np.ndarray, np.ndarray]:
+        """The first block of points."""
+        return next(self.blocks(table, place))
 
     def scaled(self, table: int, place: int, box: Row) -> tuple[np.ndarray, np.ndarray]:
-        u, v = self.unit(table, place)
-        return u * (box["xmax"] - box["xmin"]) + box["xmin"], v * (box["ymax"] - box["ymin"]) + box["ymin"]
+        return _in_box(*self.unit(table, place), box)
+
+
+def _in_box(u: np.ndarray, v: np.ndarray, box) -> tuple[np.ndarray, np.ndarray]:
+    return u * (box["xmax"] - box["xmin"]) + box["xmin"], v * (box["ymax"] - box["ymin"]) + box["ymin"]
 
 
 def darts_table(spark: SparkSession, box: Row, darts: Darts) -> DataFrame:
-    """(table_id, pos, attempt, x, y): all points, bounded by the parameters."""
+    """(table_id, pos, attempt, x, y): the first block's points, bounded by the parameters."""
     rows = []
     for h in range(darts.tables):
         for i in range(darts.length):
@@ -61,10 +72,11 @@ def darts_table(spark: SparkSession, box: Row, darts: Darts) -> DataFrame:
 
 
 def signatures(polygons: DataFrame, box: Row, darts: Darts = Darts(), ring: str = "exterior") -> DataFrame:
-    """(id, table_id, hash) of polygons of one part that all points' tables hit; ``ring``: exterior, or full to respect holes.
+    """(id, table_id, hash) of polygons of one part that have area in the box; ``ring``: exterior, or full to respect holes.
 
     The points are drawn on each executor from the seeds; the search for the first hit
-    stops at it. Polygons that some table misses, or outside the box, have no row for it.
+    stops at it, however many points that takes: about the box's area over the polygon's. Polygons
+    without area in the box beyond rounding have no row; ``LshIndex.excluded`` counts them.
     """
     shells = F.filter("rings", lambda r: ~r["is_hole"]) if ring == "exterior" else F.col("rings")
     flat = polygons.filter(F.col("n_parts") == 1).select("id", F.transform(shells, lambda r: r["pts"]).alias("pts"))
@@ -82,6 +94,7 @@ def signatures(polygons: DataFrame, box: Row, darts: Darts = Darts(), ring: str
             first = np.concatenate([[0], np.cumsum(np.diff(inner.offsets.to_numpy()))])
             # rings of one polygon follow each other; the step from one to the next is no edge
             hits = {k: _hits(xs, ys, first, per, x, y) for k, (x, y) in points.items()}
+            _draw_on(hits, xs, ys, first, per, bounds, darts)
             for h in range(darts.tables):
                 values = np.stack([hits[h, i] for i in range(darts.length)], 1)
                 found = (values > 0).all(1)
@@ -110,8 +123,67 @@ def _hits(xs, ys, first, per, px, py) -> np.ndarray:
     return out
 
 
+def _draw_on(hits: dict, xs, ys, first, per, box, darts: Darts) -> None:
+    """Sets the hits that are 0 of polygons with area in the box, from the blocks after the first."""
+    ends = np.concatenate([[0], np.cumsum(per)])
+    edges: dict[int, tuple] = {}
+    for n in np.flatnonzero(np.any([v == 0 for v in hits.values()], axis=0)):
+        at = np.concatenate([np.arange(first[r], first[r + 1] - 1) for r in range(ends[n], ends[n + 1])] or [[]]).astype(int)
+        e = xs[at], ys[at], xs[at + 1], ys[at + 1]
+        if _has_area(*e, box):
+            edges[n] = *e, min(e[0]), max(e[0]), min(e[1]), max(e[1])
+    for (h, i), values in hits.items():
+        left = [n for n in edges if values[n] == 0]
+        drawn = 0
+        for u, v in darts.blocks(h, i):
+            if not left:
+                break
+            if drawn:
+                x, y = _in_box(u, v, box)
+                order = np.argsort(x)
+                ordered = x[order]
+                for n in left:
+                    x0, y0, x1, y1, low, high, bottom, top = edges[n]
+                    near = order[np.searchsorted(ordered, low) : np.searchsorted(ordered, high, "right")]
+                    near = np.sort(near[(y[near] >= bottom) & (y[near] <= top)])
+                    for k in range(0, len(near), 4096):
+                        inside = near[k : k + 4096][_inside(x0, y0, x1, y1, x[near[k : k + 4096]], y[near[k : k + 4096]])]
+                        if len(inside):
+                            values[n] = drawn + inside[0] + 1
+                            break
+                left = [n for n in left if values[n] == 0]
+            drawn += len(u)
+
+
+def _inside(x0, y0, x1, y1, px, py) -> np.ndarray:
+    """Whether points are inside by the parity of edges to their right."""
+    x0, y0, x1, y1 = x0[:, None], y0[:, None], x1[:, None], y1[:, None]
+    return ((((y0 > py) != (y1 > py)) & (px < (x1 - x0) * (py - y0) / np.where(y1 == y0, 1.0, y1 - y0) + x0)).sum(0) % 2).astype(bool)
+
+
+def _has_area(x0, y0, x1, y1, box) -> bool:
+    """Whether the inside by parity has area in the box: a level line between two of the vertices' heights, or those where edges cross the box's sides, runs through it there."""
+    left, right, bottom, top = (box[c] for c in ("xmin", "xmax", "ymin", "ymax"))
+    if not len(x0) or not (left < right and bottom < top) or not np.isfinite([x0, y0]).all():
+        return False
+    least = 16 * np.finfo(float).eps * max(np.abs([x0, y0]).max(), abs(left), abs(right), abs(bottom), abs(top))
+    rising = np.where(x1 == x0, 1.0, x1 - x0)
+    sides = [y0 + (y1 - y0) * (s - x0) / rising for s in (left, right)]
+    across = [v[((x0 < s) != (x1 < s))] for v, s in zip(sides, (left, right), strict=True)]
+    levels = np.unique(np.clip(np.concatenate([y0, *across, [bottom, top]]), bottom, top))
+    for a, b in pairwise(levels):
+        if b - a <= least:
+            continue
+        for y in (0.75 * a + 0.25 * b, 0.5 * a + 0.5 * b, 0.25 * a + 0.75 * b):
+            met = (y0 > y) != (y1 > y)
+            x = np.clip(np.sort((x1[met] - x0[met]) * (y - y0[met]) / (y1[met] - y0[met]) + x0[met]), left, right)
+            if (x[1::2] - x[::2] > least).any():
+                return True
+    return False
+
+
 def signatures_by_cells(polygons: DataFrame, box: Row, darts: Darts = Darts(), size: int = 25) -> DataFrame:
-    """As ``signatures`` with exterior rings, without Python: points and polygons meet in grid cells, and the least number remains."""
+    """As ``signatures`` with exterior rings: points of the first block and polygons meet in grid cells, and the least number remains. What that block misses goes to ``signatures``."""
     spark = polygons.sparkSession
     sx, sy = (box["xmax"] - box["xmin"]) / size, (box["ymax"] - box["ymin"]) / size
     at = lambda v, low, step: F.least(F.greatest(F.floor((v - F.lit(low)) / F.lit(step)), F.lit(0)), F.lit(size - 1)).cast("int")
@@ -124,7 +196,11 @@ def signatures_by_cells(polygons: DataFrame, box: Row, darts: Darts = Darts(), s
     near = cells.join(points, "cell").filter(F.col("x").between(b["xmin"], b["xmax"]) & F.col("y").between(b["ymin"], b["ymax"]))
     hits = near.filter(g.contains(F.col("pts"), F.col("x"), F.col("y"))).groupBy("id", "table_id", "pos").agg(F.min("attempt").alias("a"))
     whole = hits.groupBy("id", "table_id").agg(F.sort_array(F.collect_list(F.struct("pos", "a"))).alias("v")).filter(F.size("v") == darts.length)
-    return whole.select("id", "table_id", F.transform("v", lambda x: x["a"]).alias("hash"))
+    found = whole.select("id", "table_id", F.transform("v", lambda x: x["a"]).alias("hash"))
+    tables = spark.range(darts.tables).select(F.col("id").cast("int").alias("table_id"))
+    missed = polygons.filter("n_parts = 1").select("id").distinct().crossJoin(tables).join(found, ["id", "table_id"], "left_anti")
+    rest = signatures(polygons.join(missed.select("id").distinct(), "id", "left_semi"), box, darts)
+    return found.unionByName(rest.join(missed, ["id", "table_id"], "left_semi").select("id", "table_id", "hash"))
 
 
 def signature_stats(polygons: DataFrame, signed: DataFrame, box: Row) -> DataFrame:

@@ -169,6 +169,14 @@ class LshIndex:
         named = self.shape_candidates(q).join(self.members.withColumnRenamed("id", "neighbor_id"), "shape")
         return named.join(q.select(F.col("shape").alias("qshape"), F.col("id").alias("query_id")), "qshape").select("query_id", "neighbor_id")
 
+    def excluded(self, queries: DataFrame) -> DataFrame:
+        """One row (data, queries): how many ids have no signature, since their polygons have no area in the box or several parts."""
+        q = shaped(queries)
+        shapes = q.groupBy("shape").agg(F.first("rings").alias("rings"), F.first("n_parts").alias("n_parts"))
+        asked = self._sign(shapes, self.box, self.darts, self.ring)
+        count = lambda rows, signed, name: rows.join(signed.select("shape").distinct(), "shape", "left_anti").agg(F.count("*").alias(name))
+        return count(self.members, self.signed, "data").crossJoin(count(q, asked, "queries"))
+
     def knn(self, queries: DataFrame, k: int = 10) -> DataFrame:
         """(query_id, neighbor_id, distance, rank) among the candidates; a query without any has no row."""
         q = shaped(queries)

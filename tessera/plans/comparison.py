@@ -27,6 +27,7 @@ class Comparison:
     by_query: DataFrame
     overall: DataFrame
     stats: DataFrame
+    excluded: DataFrame
 
 
 def _rounded(found: DataFrame) -> DataFrame:
@@ -50,7 +51,7 @@ def compare(data: DataFrame, queries: DataFrame, k: int = 10, darts: Darts = Dar
         approx, exact = _rounded(approx), _rounded(exact)
     approx, exact = stored(approx, "approx"), stored(exact, "exact")
     by_query = stored(evaluate.per_query(approx, exact), "by-query")
-    return Comparison(approx, exact, index.pruning(q), evaluate.top1_stats(approx), by_query, evaluate.overall(by_query, exact if count_empty else None), signature_stats(d, index.buckets(), index.box))
+    return Comparison(approx, exact, index.pruning(q), evaluate.top1_stats(approx), by_query, evaluate.overall(by_query, exact if count_empty else None), signature_stats(d, index.buckets(), index.box), index.excluded(q))
 
 
 def main(args: list[str]) -> None:
@@ -63,7 +64,7 @@ def main(args: list[str]) -> None:
     sinks.write_results(done.exact, f"{out}/exact")
     sinks.write_evaluation(done.by_query, f"{out}/comparison")
     sinks.write_signature_stats(done.stats, f"{out}/signatures")
-    for name in ("pruning", "top1", "overall"):
+    for name in ("pruning", "top1", "overall", "excluded"):
         getattr(done, name).write.json(f"{out}/{name}")
 
 
