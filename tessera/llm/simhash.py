@@ -137,19 +137,27 @@ def fingerprint_hex(fp: Column) -> Column:
 
 
 def choose_rows(docs: DataFrame, found: DataFrame, mark: Callable[[DataFrame], DataFrame], *, id_col: str) -> DataFrame:
-    """One row of each component of ``found`` (id, _fp, component_id, root), one for each row of ``docs``; ``mark`` adds a row's _fp again."""
-    chosen = found.filter(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
-    named = docs.join(chosen, id_col, "left_semi").dropDuplicates([id_col])
-    lone = found.filter(F.col("component_id").isNull()).select("_fp", F.col("root").alias("_root")).distinct()
-    nameless = mark(docs.filter(F.col(id_col).isNull())).join(lone, "_fp").dropDuplicates(["_root"])
-    return named.select(*docs.columns).unionByName(nameless.select(*docs.columns))
+    """One row of each component of ``found`` (id, _fp, component_id, root), one for each row of ``docs``; ``mark`` adds a row's _fp again.
+
+    Ids that only one _fp has choose their rows by id; rows of other ids, and of none, are marked
+    and chosen by id and _fp, so that of two components of the same least id each keeps a row.
+    """
+    least = found.filter(F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min(id_col).alias(id_col), F.min("_fp").alias("_fp"))
+    several = found.filter(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.min("_fp").alias("low"), F.max("_fp").alias("high")).filter("low < high").select(id_col)
+    one = least.filter(F.col(id_col).isNotNull()).join(several, id_col, "left_anti").select(id_col)
+    plain = docs.join(one, id_col, "left_semi").dropDuplicates([id_col])
+    unsure = docs.join(several, id_col, "left_semi").select(*docs.columns).unionByName(docs.filter(F.col(id_col).isNull()))
+    picked = least.select(F.col(id_col).alias("_id"), F.col("_fp"), F.col("root").alias("_root"))
+    marked = mark(unsure)
+    others = marked.join(picked, (marked["_fp"] == picked["_fp"]) & marked[id_col].eqNullSafe(picked["_id"])).dropDuplicates(["_root"])
+    return plain.select(*docs.columns).unionByName(others.select(*docs.columns))
 
 
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """One document of each component of ``near_duplicates``, with all its columns: the one with the least id.
 
-    Of rows that repeat that id one stays. Rows with no id stay only where their whole
-    component has none, one of each such component. An empty table gives an empty table.
+    Of rows of the component that repeat that id one stays; another component of the same least
+    id keeps a row of its own. Rows with no id stay only where their whole component has none, one of each such component. An empty table gives an empty table.
     """
     found = near_duplicates(docs, id_col=id_col, text_col=text_col, **options).withColumnRenamed("fingerprint", "_fp")
     how = {k: v for k, v in options.items() if k in ("words", "seed")}
