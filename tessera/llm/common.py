@@ -3,47 +3,24 @@
 from __future__ import annotations
 
 import hashlib
-import tempfile
-import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_LOCAL: dict[str, str] = {}
+from tessera.session import fresh_path, shared_dir, stored
 
+__all__ = ["fresh_path", "shared_dir", "stored"]
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Where the setting is missing, a temporary folder serves a ``local`` master (tests);
-    on a cluster that is an error, since executors would not see the driver's folder.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    app = spark.sparkContext.applicationId
-    if app not in _LOCAL:
-        _LOCAL[app] = "file://" + tempfile.mkdtemp(prefix="tessera-")
-        spark.sparkContext.setCheckpointDir(_LOCAL[app])
-    return _LOCAL[app]
-
-
-def fresh_path(spark: SparkSession, label: str) -> str:
-    """A path in the shared folder that no other run uses."""
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """Writes ``df`` to the shared folder and reads it again: lineage ends there, and no executor's loss repeats the work."""
-    spark = df.sparkSession
-    path = fresh_path(spark, label)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
 
+def free_name(df: DataFrame, wish: str) -> str:
+    """A column name that ``df`` hasn't, in any spelling of capitals."""
+    taken = {c.lower() for c in df.columns}
+    name = f"__{wish}"
+    while name in taken:
+        name += "_"
+    return name
 
 @contextmanager
 def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:

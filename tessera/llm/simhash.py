@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.components import connected_components
-from tessera.llm.common import small_batches, stored
+from tessera.llm.common import free_name, small_batches, stored
 
 #: For each byte a word of eight byte counters, one for each of its bits.
 _LANES = np.array([sum((b >> i & 1) << (8 * i) for i in range(8)) for b in range(256)], np.uint64)
@@ -136,21 +136,28 @@ def fingerprint_hex(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def choose_rows(docs: DataFrame, found: DataFrame, mark: Callable[[DataFrame], DataFrame], *, id_col: str) -> DataFrame:
-    """One row of each component of ``found`` (id, _fp, component_id, root), one for each row of ``docs``; ``mark`` adds a row's _fp again.
+def choose_rows(docs: DataFrame, found: DataFrame, mark: Callable[[DataFrame, str], DataFrame], *, id_col: str) -> DataFrame:
+    """One row of each component of ``found`` (id, fingerprint, component_id, root), one for each row of ``docs``; ``mark`` adds a row's fingerprint again, under a name that it is given.
 
-    Ids that only one _fp has choose their rows by id; rows of other ids, and of none, are marked
-    and chosen by id and _fp, so that of two components of the same least id each keeps a row.
+    Ids that come once choose their rows by id; so do ids whose rows all have one fingerprint, of which one row stays.
+    Rows of other ids, and of none, are marked and chosen by id and fingerprint, so that of two components of the same least id each
+    keeps a row. All columns of ``docs`` pass, whatever their names; texts of ids that come once aren't shuffled unless the join by id is.
     """
-    least = found.filter(F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min(id_col).alias(id_col), F.min("_fp").alias("_fp"))
-    several = found.filter(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.min("_fp").alias("low"), F.max("_fp").alias("high")).filter("low < high").select(id_col)
-    one = least.filter(F.col(id_col).isNotNull()).join(several, id_col, "left_anti").select(id_col)
-    plain = docs.join(one, id_col, "left_semi").dropDuplicates([id_col])
-    unsure = docs.join(several, id_col, "left_semi").select(*docs.columns).unionByName(docs.filter(F.col(id_col).isNull()))
-    picked = least.select(F.col(id_col).alias("_id"), F.col("_fp"), F.col("root").alias("_root"))
-    marked = mark(unsure)
-    others = marked.join(picked, (marked["_fp"] == picked["_fp"]) & marked[id_col].eqNullSafe(picked["_id"])).dropDuplicates(["_root"])
-    return plain.select(*docs.columns).unionByName(others.select(*docs.columns))
+    found = found.toDF("id", "fp", "component_id", "root")
+    given, row_id = [F.col(f"`{c}`") for c in docs.columns], F.col(f"`{id_col}`")
+    fp, key, key_fp, root = (free_name(docs, n) for n in ("fp", "key", "key_fp", "root"))
+    least = found.filter(F.col("id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min("id").alias("id"), F.min("fp").alias("fp"))
+    again = found.filter(F.col("id").isNotNull()).groupBy("id").agg(F.count("*").alias("n"), F.min("fp").alias("low"), F.max("fp").alias("high")).filter("n > 1")
+    again = stored(again.select(F.col("id").alias(key), (F.col("low") < F.col("high")).alias("several")), "repeated-ids")
+    chosen = stored(least.select(F.col("id").alias(key), F.col("fp").alias(key_fp), F.col("root").alias(root)), "chosen")
+    of_id = lambda df, ids, how: df.join(ids.select(key), F.col(f"`{id_col}`") == F.col(key), how)
+    once = chosen.join(again, key, "left_anti")
+    same = chosen.join(again.filter("NOT several"), key, "left_semi")
+    parts = [of_id(docs, once, "left_semi"), of_id(docs, same, "left_semi").dropDuplicates([id_col])]
+    unsure = of_id(docs, again.filter("several"), "left_semi").select(*given).unionByName(docs.filter(row_id.isNull()))
+    marked = mark(unsure, fp)
+    parts.append(marked.join(chosen, (F.col(fp) == F.col(key_fp)) & row_id.eqNullSafe(F.col(key))).dropDuplicates([root]))
+    return parts[0].select(*given).unionByName(parts[1].select(*given)).unionByName(parts[2].select(*given))
 
 
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
@@ -159,6 +166,6 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     Of rows of the component that repeat that id one stays; another component of the same least
     id keeps a row of its own. Rows with no id stay only where their whole component has none, one of each such component. An empty table gives an empty table.
     """
-    found = near_duplicates(docs, id_col=id_col, text_col=text_col, **options).withColumnRenamed("fingerprint", "_fp")
+    found = near_duplicates(docs, id_col=id_col, text_col=text_col, **options)
     how = {k: v for k, v in options.items() if k in ("words", "seed")}
-    return choose_rows(docs, found, lambda d: fingerprints(d, text_col=text_col, out="_fp", keep_text=True, **how), id_col=id_col)
+    return choose_rows(docs, found, lambda d, out: fingerprints(d, text_col=text_col, out=out, keep_text=True, **how), id_col=id_col)
