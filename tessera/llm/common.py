@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
-from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,16 +20,16 @@ def free_name(df: DataFrame, wish: str) -> str:
         name += "_"
     return name
 
-@contextmanager
-def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
-    """Within it, what is written goes to Python workers in batches of ``rows``, so that long texts take less memory at once."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(min(rows, int(before)) if int(before) > 0 else rows))
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
+
+def small_batches(spark: SparkSession, most: int = 8 << 20) -> None:
+    """From now on the session hands Python workers batches of about ``most`` bytes, if it handed them larger ones, so that long texts take little memory at once.
+
+    Spark reads the setting when a frame runs, so it stays as it is set.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch()
+    if not 0 < now <= most:
+        spark.conf.set(name, f"{most}b")
 
 
 def exists(spark: SparkSession, path: str) -> bool:

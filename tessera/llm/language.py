@@ -156,8 +156,8 @@ def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
             got = [grams(t, buckets, orders) if has_letter(t) else (None, None) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("label"), pa.array([g[0] for g in got], pa.list_(pa.int32())), pa.array([g[1] for g in got], pa.list_(pa.int32()))], names=["id", "label", "found", "counts"])
 
-    with small_batches(docs.sparkSession):
-        totals = {r["bucket"]: r["n"] for r in pool.select("text").mapInArrow(frequencies, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).collect()}
+    small_batches(docs.sparkSession)
+    totals = {r["bucket"]: r["n"] for r in pool.select("text").mapInArrow(frequencies, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).collect()}
     n = totals.pop(buckets, 0)
     idf = np.log((1 + n) / (1 + np.array([totals.get(i, 0) for i in range(buckets)]))) + 1
     first = W.partitionBy("label").orderBy(F.xxhash64("id"), "id")

@@ -12,10 +12,10 @@ from __future__ import annotations
 import json
 import math
 import os
+import re
 import zlib
 from collections import deque
 from collections.abc import Iterator
-from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +33,8 @@ _LOADED: dict[str, "WordTokens"] = {}
 
 #: The splitting pattern for which words can be encoded one by one: letters, single digits, runs of other signs.
 _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
 class WordTokens:
     """Ids of whole texts by a tokenizer, with a memory of words.
 
@@ -50,6 +52,10 @@ class WordTokens:
         self.tok.no_padding()
         self.memo: dict[bytes, bytes] = {}
         self.cut = regex.compile(_PATTERN).findall
+        #: ASCII and the letters of Latin and Cyrillic blocks that have been full for long.
+        self.plain = re.compile("[\x00-\x7f\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f\u0400-\u045f]*").fullmatch
+        #: A capital before a sign beyond U+02FF, which may be a combining mark.
+        self.marked = re.compile(rb"[A-Z][\xcc-\xff]").search
         spec = json.loads(data)
         self.apart = self._by_words(spec)
         self.added = [t["content"].encode().lower() for t in spec.get("added_tokens", [])]
@@ -77,7 +83,10 @@ class WordTokens:
         if len(self.memo) + len(words) > MEMO:
             self.memo.clear()
         texts = b" ".join(words).decode().split(" ")
-        cut = {w: self.cut(t) for w, t in zip(words, texts, strict=True) if not t.isalpha() and "'" not in t and is_normalized("NFC", t)}
+        # the splitting pattern sees the normalised text: a word that normalising changes, such as one with U+0130, is left to the
+        # library, and so is one with signs that one edition of Unicode calls letters and another doesn't
+        stays = self.tok.normalizer.normalize_str
+        cut = {w: self.cut(t) for w, t in zip(words, texts, strict=True) if not t.isalpha() and "'" not in t and (t.isascii() or self.plain(t) and stays(t) == t)}
         parts = {p for ps in cut.values() for p in ps if p.encode() not in self.memo}
         letters = {t: w for w, t in zip(words, texts, strict=True) if t.isalpha()} | {p: p.encode() for p in parts if p.isalpha()}
         names, keys = [*letters], [*letters.values()]
@@ -109,10 +118,12 @@ class WordTokens:
         missing: set[bytes] = set()
         for text in texts:
             low = text.lower()  # A-Z only; the library lower-cases the rest
+            marked = self.marked(text)
             if any(a in low for a in self.added):
                 out.append([self._whole(text)])
                 continue
-            words = low.replace(b"\n", b" ").split(b" ")
+            # the library composes letters and marks before it lower-cases
+            words = (text if marked else low).replace(b"\n", b" ").split(b" ")
             ids = [*map(known, words)]
             if None in ids:
                 places = [i for i, x in enumerate(ids) if x is None]
@@ -136,7 +147,8 @@ def _loaded(data: bytes, key: str) -> WordTokens:
 
 def tokenise(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", end_id: int | None = None) -> DataFrame:
     """(id, source, ids, n_tokens): ``ids`` is binary, little-endian, unsigned, of 16 bits an id if the vocabulary has no more than 65536,
-    else 32, ``end_id`` appended; a null text is empty, a null source is one source. An empty table gives an empty table."""
+    else 32, ``end_id`` appended; a null text is empty, a null source is one source. Texts are encoded whole, however long. Repeated rows are
+    rows of their own; other columns, whatever their names, stay behind. An empty table gives an empty table."""
     data = file_bytes(tokenizer_path)
     key = bytes_digest(data)
     sent = docs.sparkSession.sparkContext.broadcast(data)
@@ -151,7 +163,7 @@ def tokenise(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", te
                 ids = [x + end for x in words.encode([t or b"" for t in b.column("text").to_pylist()])]
                 yield pa.RecordBatch.from_arrays([b.column("id"), b.column("source"), pa.array(ids, pa.binary()), pa.array([len(x) // width for x in ids], pa.int64())], names=["id", "source", "ids", "n_tokens"])
 
-    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), F.col(text_col).cast("binary").alias("text"))
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{source_col}`").cast("string").alias("source"), F.col(f"`{text_col}`").cast("binary").alias("text"))
     return rows.mapInArrow(run, f"id {dict(docs.dtypes)[id_col]}, source string, ids binary, n_tokens bigint")
 
 
@@ -223,10 +235,11 @@ def pack(tokens: DataFrame, *, window: int = 4096, shares: dict[str | None, floa
     sequences but a partition's last are full; the rest of a partition goes to sequences of the
     largest powers of two, so nothing is padded. A partition takes about
     ``partition_tokens``, never less than a whole document. Without ``with_ids`` the ids
-    stay behind and only their CRC-32 is given. An empty table gives an empty table.
+    stay behind and only their CRC-32 is given. Rows of one id are packed as documents of their own, each with
+    ``start`` from 0; a row without tokens has no piece. An empty table gives an empty table.
     """
-    with small_batches(tokens.sparkSession):
-        kept = stored(tokens.withColumn("row", F.monotonically_increasing_id()), "tokens")
+    small_batches(tokens.sparkSession)
+    kept = stored(tokens.select("id", "source", "ids", "n_tokens").withColumn("row", F.monotonically_increasing_id()), "tokens")
     total = kept.agg(F.sum("n_tokens")).first()[0] or 0
     parts = max(1, math.ceil(total / partition_tokens))
     dealt = kept.withColumn("part", F.pmod(F.xxhash64("row"), F.lit(parts)))

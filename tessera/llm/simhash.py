@@ -121,8 +121,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     a component; ids that are null are never a component's name unless it has no other.
     An empty table gives an empty table. No more than ids and fingerprints is kept or moved.
     """
-    with small_batches(docs.sparkSession):
-        marked = stored(fingerprints(docs.select(id_col, text_col), text_col=text_col, words=words, seed=seed).select(F.col(id_col), F.col("fingerprint").alias("fp")), "fingerprints")
+    small_batches(docs.sparkSession)
+    marked = stored(fingerprints(docs.select(id_col, text_col), text_col=text_col, words=words, seed=seed).select(F.col(id_col), F.col("fingerprint").alias("fp")), "fingerprints")
     groups = marked.groupBy("fp").agg(F.min(id_col).alias("least_id"))
     roots = connected_components(links(marked.select("fp").distinct(), tau=tau, segments=segments))
     rooted = groups.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))

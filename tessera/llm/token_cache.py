@@ -87,8 +87,8 @@ def count_tokens(df: DataFrame, tokenizer_path: str, *, text_col: str = "text",
         addressed = addressed.join(known.distinct(), "digest", "left_anti")
     misses = addressed.groupBy("digest").agg(F.first("content").alias("content"))
     misses = misses.select("digest", "content", F.octet_length("content").cast("long").alias("n_bytes"))
-    with small_batches(spark):
-        misses.mapInArrow(encode, CACHE_SCHEMA).write.mode("append").option("compression", "zstd").parquet(cache)
+    small_batches(spark)
+    misses.mapInArrow(encode, CACHE_SCHEMA).write.mode("append").option("compression", "zstd").parquet(cache)
 
     counts = spark.read.schema(CACHE_SCHEMA).parquet(cache).filter(F.col("tokenizer") == version).select("digest", "n_bytes", "n_tokens")
     if old:
