@@ -9,13 +9,14 @@ from __future__ import annotations
 
 import base64
 import struct
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tessera.llm.common import bytes_digest, file_bytes
+from tessera.llm.common import add_in_arrow, bytes_digest, file_bytes
 
 #: Unicode's White_Space; the spellings of \s differ between regular expression libraries.
 SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -144,44 +145,28 @@ def _loaded(data: bytes, pattern: str) -> ByteBpe:
     return _LOADED[key]
 
 
-def _with(batch: pa.RecordBatch, name: str, values: pa.Array) -> pa.RecordBatch:
-    keep = [n for n in batch.schema.names if n != name]
-    return pa.RecordBatch.from_arrays([*(batch.column(n) for n in keep), values], names=[*keep, name])
-
-
-def _schema(df: DataFrame, name: str, kind: str) -> str:
-    rest = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name != name)
-    return f"{rest}, `{name}` {kind}" if rest else f"`{name}` {kind}"
-
-
 def encode_column(df: DataFrame, ranks_path: str, pattern: str, *, text_col: str = "text", out: str = "ids") -> DataFrame:
-    """Adds ``out``: the ids (array of int) of the whole text; null counts as empty, which has no ids. A column of that name is replaced."""
+    """Adds ``out``: the ids (array of int) of the whole text; null counts as empty, which has no ids. A column of that name is replaced,
+    others pass, rows repeat as they are, an empty table gives an empty table. ``pattern`` must never match from a sign into following white space (as those
+    of the public byte-level vocabularies): white space and what follows it are encoded by themselves."""
     sent = df.sparkSession.sparkContext.broadcast(file_bytes(ranks_path))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def work(texts: pa.Array) -> list[pa.Array]:
         bpe = _loaded(sent.value, pattern)
-        for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                b = whole.slice(at, 256)
-                ids = [bpe.encode(t or "") for t in b.column(text_col).to_pylist()]
-                ends = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
-                flat = np.concatenate([*ids, np.zeros(0, np.int32)])
-                yield _with(b, out, pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)))
+        ids = [bpe.encode(cell.as_py() or "") for cell in texts]
+        ends = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
+        return [pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*ids, np.zeros(0, np.int32)])))]
 
-    return df.mapInArrow(run, _schema(df, out, "array<int>"))
+    return add_in_arrow(df, F.col(f"`{text_col}`"), {out: T.ArrayType(T.IntegerType())}, work)
 
 
 def decode_column(df: DataFrame, ranks_path: str, pattern: str, *, ids_col: str = "ids", out: str = "decoded") -> DataFrame:
-    """Adds ``out``: the bytes (binary) that the ids stand for, which need not be valid UTF-8; null and empty arrays give no bytes."""
+    """Adds ``out``: the bytes (binary) that the ids stand for, which need not be valid UTF-8; null and empty arrays give no bytes.
+    Other columns pass, one of that name is replaced, an empty table gives an empty table."""
     sent = df.sparkSession.sparkContext.broadcast(file_bytes(ranks_path))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def work(column: pa.Array) -> list[pa.Array]:
         bpe = _loaded(sent.value, pattern)
-        for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                b = whole.slice(at, 256)
-                col = b.column(ids_col)
-                rows = [np.asarray(x.values) if x.is_valid else np.zeros(0, np.int32) for x in col]
-                yield _with(b, out, pa.array([bpe.decode(x) for x in rows], pa.binary()))
-
-    return df.mapInArrow(run, _schema(df, out, "binary"))
+        return [pa.array([bpe.decode(np.asarray(x.values) if x.is_valid else np.zeros(0, np.int32)) for x in column], pa.binary())]
+
+    return add_in_arrow(df, F.col(f"`{ids_col}`"), {out: T.BinaryType()}, work)

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.session import fresh_path, shared_dir, stored
 
@@ -32,6 +35,22 @@ def small_batches(spark: SparkSession, most: int = 8 << 20) -> None:
         spark.conf.set(name, f"{most}b")
 
 
+def add_in_arrow(df: DataFrame, given: Column, made: dict[str, T.DataType], work: Callable[[pa.RecordBatch], list[pa.Array]], *, drop: tuple[str, ...] = ()) -> DataFrame:
+    """Adds the columns ``made``, which ``work`` makes of each batch's column ``given``; columns of those names are replaced, all others pass, whatever their names, but for those in ``drop``."""
+    small_batches(df.sparkSession)
+    keep = [F.col(f"`{c}`") for c in df.columns if c not in made and c not in drop]
+    packed = df.select(F.struct(*keep).alias("row"), given.alias("given")) if keep else df.select(F.struct(F.lit(0)).alias("row"), given.alias("given"))
+    names = [f"made{i}" for i in range(len(made))]
+    schema = T.StructType([packed.schema["row"], *(T.StructField(n, t) for n, t in zip(names, made.values(), strict=True))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column("row"), *work(b.column("given"))], names=["row", *names])
+
+    found = packed.mapInArrow(run, schema)
+    return found.select(*(["row.*"] if keep else []), *(F.col(n).alias(m) for n, m in zip(names, made, strict=True)))
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     """Whether a path is there, asked of the file system that Spark would read it from."""
     jvm = spark.sparkContext._jvm

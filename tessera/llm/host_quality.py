@@ -14,8 +14,6 @@ from pyspark.sql import functions as F
 from tessera.llm.common import stored
 
 _BLANK = r"\x20\x09-\x0D"
-#: A host goes if its shrunk failure rate is over this: its good documents go with it, so four of five must fail.
-MOST_RATE = 0.8
 #: Names of the columns that ``text_features`` adds.
 FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
 
@@ -57,12 +55,12 @@ def _covered(digests: Column, window: int) -> Column:
 
 
 def shrink(hosts: DataFrame) -> DataFrame:
-    """Adds ``rate`` and ``shrunk_rate`` to (host, n_docs, n_failed).
+    """Adds ``rate``, ``shrunk_rate`` and ``bar`` to (host, n_docs, n_failed).
 
     The prior beta(a, b) is fitted by moments: its mean is the rate of all documents, its
     strength comes from the spread of the hosts' rates beyond what chance gives. If there is no
-    such spread the prior is as strong as all documents together. One row of sums goes to the
-    driver.
+    such spread the prior is as strong as all documents together. The ``bar`` is halfway from the prior's mean
+    to 1: a host over it is nearer to failing always than to failing as all do. One row of sums goes to the driver.
     """
     n, x = F.col("n_docs").cast("double"), F.col("n_failed").cast("double")
     got = hosts.agg(F.sum(n).alias("n"), F.sum(x).alias("x"), F.count("*").alias("hosts"), F.sum(x * x / n).alias("xx"), F.sum(n * n).alias("nn")).first()
@@ -74,40 +72,43 @@ def shrink(hosts: DataFrame) -> DataFrame:
             spread = (got["xx"] - got["n"] * mean * mean - mean * (1 - mean) * (got["hosts"] - 1)) / (got["n"] - got["nn"] / got["n"])
             if spread > 0:
                 strength = min(got["n"], max(1.0, mean * (1 - mean) / spread - 1))
-    return hosts.select("*", (x / n).alias("rate"), ((x + F.lit(mean * strength)) / (n + F.lit(strength))).alias("shrunk_rate"))
+    return hosts.select("*", (x / n).alias("rate"), ((x + F.lit(mean * strength)) / (n + F.lit(strength))).alias("shrunk_rate"), F.lit((1 + mean) / 2).alias("bar"))
 
 
 def host_rates(features: DataFrame, *, host_col: str = "source", failed_col: str = "base_failed") -> DataFrame:
-    """(host, n_docs, n_failed, rate, shrunk_rate) of each host, kept in the shared folder; rows with no host are left out."""
+    """(host, n_docs, n_failed, rate, shrunk_rate, bar) of each host, kept in the shared folder; rows with no host are left out."""
     counted = features.filter(F.col(host_col).isNotNull()).groupBy(F.col(host_col).alias("host")).agg(F.count("*").alias("n_docs"), F.sum(F.col(failed_col).cast("bigint")).alias("n_failed"))
     return shrink(stored(counted, "hosts"))
 
 
-def judge(docs: DataFrame, *, id_cols: tuple[str, ...] = ("doc_id",), text_col: str = "text", host_col: str = "source", most_rate: float = MOST_RATE) -> DataFrame:
+def judge(docs: DataFrame, *, id_cols: tuple[str, ...] = ("doc_id",), text_col: str = "text", host_col: str = "source", most_rate: float | None = None) -> DataFrame:
     """One row for each document: ``id_cols``, the features, ``shrunk_rate`` of its host (null without one) and ``kept``.
 
-    ``kept`` is false if the text fails, or its host's shrunk failure rate is over ``most_rate``.
+    ``kept`` is false if the text fails, or its host's shrunk failure rate is over ``most_rate`` (default: the bar of ``shrink``).
     Documents with no host are judged by their text alone. Rows repeat as in the input; an
     empty table gives an empty table. Only numbers and hosts are kept and moved, no texts.
     """
-    seen = docs.select(*[F.col(c) for c in id_cols], F.col(host_col).alias("_host"), F.col(text_col).alias("_text"))
+    seen = docs.select(*[F.col(f"`{c}`") for c in id_cols], F.col(f"`{host_col}`").alias("_host"), F.col(f"`{text_col}`").alias("_text"))
     features = stored(text_features(seen, text_col="_text").drop("_text"), "quality")
-    rates = host_rates(features, host_col="_host").select(F.col("host").alias("_host"), "shrunk_rate")
-    bad = F.coalesce(F.col("shrunk_rate") > most_rate, F.lit(False))
-    return features.join(rates, "_host", "left").withColumn("kept", ~F.col("base_failed") & ~bad).drop("_host")
+    rates = host_rates(features, host_col="_host").select(F.col("host").alias("_host"), "shrunk_rate", "bar")
+    bad = F.coalesce(F.col("shrunk_rate") > _bar(most_rate), F.lit(False))
+    return features.join(rates, "_host", "left").withColumn("kept", ~F.col("base_failed") & ~bad).drop("_host", "bar")
 
 
-def keep_good(docs: DataFrame, *, text_col: str = "text", host_col: str = "source", most_rate: float = MOST_RATE) -> DataFrame:
-    """The documents that ``judge`` keeps, with all their columns.
+def _bar(most_rate: float | None) -> Column:
+    return F.col("bar") if most_rate is None else F.lit(most_rate)
+
+
+def keep_good(docs: DataFrame, *, text_col: str = "text", host_col: str = "source", most_rate: float | None = None) -> DataFrame:
+    """The documents that ``judge`` keeps, with all their columns, whatever their names.
 
     Texts don't move: the rejected hosts are a small table, which Spark broadcasts if its size
-    allows, and the base rules are worked out again beside the text.
+    allows, and the base rules are worked out again beside the text. Null texts fail, documents with no
+    host are judged by their text alone, repeated rows repeat, an empty table gives an empty table.
     """
-    taken = {*docs.columns} & {*FEATURES, "_text"}
-    if taken:
-        raise ValueError(f"columns {sorted(taken)} must be renamed first")
-    named = docs.withColumn("_text", F.col(text_col))
-    rates = host_rates(text_features(named.select(host_col, "_text"), text_col="_text"), host_col=host_col)
-    rejected = stored(rates.filter(F.col("shrunk_rate") > most_rate).select("host"), "rejected-hosts")
-    good = text_features(named, text_col="_text").filter(~F.col("base_failed"))
-    return good.join(rejected, F.col(host_col) == F.col("host"), "left_anti").select(*docs.columns)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+    seen = docs.select(row, F.col(f"`{host_col}`").alias("host"), F.col(f"`{text_col}`").alias("_text"))
+    rates = host_rates(text_features(seen.select("host", "_text"), text_col="_text"), host_col="host")
+    rejected = stored(rates.filter(F.col("shrunk_rate") > _bar(most_rate)).select("host"), "rejected-hosts")
+    good = text_features(seen, text_col="_text").filter(~F.col("base_failed")).select("_row", "host")
+    return good.join(rejected, "host", "left_anti").select("_row.*")

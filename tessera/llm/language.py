@@ -17,8 +17,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tessera.llm.common import small_batches
+from tessera.llm.common import add_in_arrow, small_batches, stored
 
 UNKNOWN = "und"
 
@@ -130,16 +131,18 @@ def held_out(id_col: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(id_col.cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
 
-def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", rows_per_language: int = 1500, buckets: int = 1 << 15, orders: tuple[int, ...] = (1, 2, 3)) -> Model:
+def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", rows_per_language: int = 1500, most_languages: int = 256, buckets: int = 1 << 15, orders: tuple[int, ...] = (1, 2, 3)) -> Model:
     """Fits a model on the documents that aren't held out and have an id, a text with letters and a label.
 
     Document frequencies are of all of these. The weights are fitted on up to
     ``rows_per_language`` documents of each language, those whose ids have the least digests:
-    that is the documented bound of the sample. A repeated id counts once there. To the driver
-    go one count for each bucket and the sparse counts of the sample. With no such documents
-    the model knows no language.
+    that is the documented bound of the sample. A repeated id counts once there: of its texts the one with the
+    least label and digest. More than ``most_languages`` labels are an error, so that the weights and what goes to the
+    driver are bounded: one count for each bucket and the sparse counts of the sample. With no such documents
+    the model knows no language. Texts are read whole; other columns play no part.
     """
-    pool = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(label_col).cast("string").alias("label")).filter(F.col("id").isNotNull() & F.col("label").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("id")))
+    small_batches(docs.sparkSession)
+    pool = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{label_col}`").cast("string").alias("label")).filter(F.col("id").isNotNull() & F.col("label").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("id")))
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, n = np.zeros(buckets + 1, np.int64), 0
@@ -154,33 +157,35 @@ def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             got = [grams(t, buckets, orders) if has_letter(t) else (None, None) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("label"), pa.array([g[0] for g in got], pa.list_(pa.int32())), pa.array([g[1] for g in got], pa.list_(pa.int32()))], names=["id", "label", "found", "counts"])
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("label"), b.column("digest"), pa.array([g[0] for g in got], pa.list_(pa.int32())), pa.array([g[1] for g in got], pa.list_(pa.int32()))], names=["id", "label", "digest", "found", "counts"])
 
-    small_batches(docs.sparkSession)
     totals = {r["bucket"]: r["n"] for r in pool.select("text").mapInArrow(frequencies, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).collect()}
     n = totals.pop(buckets, 0)
     idf = np.log((1 + n) / (1 + np.array([totals.get(i, 0) for i in range(buckets)]))) + 1
     first = W.partitionBy("label").orderBy(F.xxhash64("id"), "id")
     chosen = pool.select("id", "label").distinct().withColumn("r", F.row_number().over(first)).filter(F.col("r") <= rows_per_language).select("id", "label")
-    sample = pool.join(F.broadcast(chosen), ["id", "label"], "left_semi").mapInArrow(counts, f"id {dict(docs.dtypes)[id_col]}, label string, found array<int>, counts array<int>")
-    rows = sample.filter(F.col("found").isNotNull()).dropDuplicates(["id"]).orderBy("id").select("found", "counts", "label").toArrow()
+    chosen = stored(chosen, "language-sample")
+    if chosen.select("label").distinct().limit(most_languages + 1).count() > most_languages:
+        raise ValueError(f"more than {most_languages} languages")
+    # its size is bounded by rows_per_language times most_languages
+    sample = pool.join(F.broadcast(chosen), ["id", "label"], "left_semi").withColumn("digest", F.xxhash64("text"))
+    sample = sample.mapInArrow(counts, f"id {dict(docs.dtypes)[id_col]}, label string, digest bigint, found array<int>, counts array<int>").filter(F.col("found").isNotNull())
+    one = sample.groupBy("id").agg(F.min_by(F.struct("label", "found", "counts"), F.struct("label", "digest")).alias("s"))
+    rows = one.orderBy("id").select("s.found", "s.counts", "s.label").toArrow()
     read = zip(rows.column("found"), rows.column("counts"), rows.column("label").to_pylist(), strict=True)
     return fit([(np.asarray(a.values), np.asarray(b.values), c) for a, b, c in read], idf)
 
 
-def identify(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFrame:
+def identify(docs: DataFrame, model: Model, *, text_col: str = "text", pred_col: str = "lang_pred", score_col: str = "score") -> DataFrame:
     """Adds ``lang_pred`` and ``score`` (0 to 1) to each row; ``und`` with score 0 if the text is null or has no letter, or nothing was learned.
 
-    Other columns pass, clashing ones are replaced. The text is read whole. An empty table gives an empty table.
+    Other columns pass, those of the two names (``pred_col`` and ``score_col`` choose others) are replaced. The text is read whole,
+    repeated rows repeat. An empty table gives an empty table.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    keep = [f for f in docs.schema.fields if f.name not in ("lang_pred", "score")]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in keep), "lang_pred string", "score double"])
-    names = [f.name for f in keep]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            got = [predict_text(sent.value, cell.as_py()) for cell in b.column(text_col)]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], names=[*names, "lang_pred", "score"])
+    def work(texts: pa.Array) -> list[pa.Array]:
+        got = [predict_text(sent.value, cell.as_py()) for cell in texts]
+        return [pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())]
 
-    return docs.select(*names).mapInArrow(run, schema)
+    return add_in_arrow(docs, F.col(f"`{text_col}`"), {pred_col: T.StringType(), score_col: T.DoubleType()}, work)

@@ -63,11 +63,12 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The pages as one replica against a second one with known damage: of some records the payload has another first character, others are gone."""
+    """The pages as one replica against a second one with known damage, laid out by itself: of some records the payload has another first character, others were lost before."""
     pages = table(spark, sf_dir, "pages", "page_id", "url", "html")
     ours = warc_audit.archive(pages)
     rotten = F.when(F.col("page_id") % 211 == 17, F.concat(F.lit("?"), F.substring("html", 2, 1 << 30))).otherwise(F.col("html"))
-    theirs = warc_audit.archive(pages.withColumn("html", rotten)).filter(~F.col("record_id").rlike("00$"))
+    lost = F.col("page_id").cast("string").endswith("00")
+    theirs = warc_audit.archive(pages.withColumn("html", rotten).filter(~F.coalesce(lost, F.lit(False))))
     return warc_audit.audit(ours, theirs)
 
 
@@ -99,7 +100,7 @@ h AS (SELECT source, CAST(count(*) AS DOUBLE) AS n, CAST(count(*) FILTER (WHERE
 a AS (SELECT sum(n) AS n, sum(x) AS x, count(*) AS hosts, sum(x * x / n) AS xx, sum(n * n) AS nn, sum(x) / sum(n) AS mean FROM h),
 v AS (SELECT n, mean, CASE WHEN hosts > 1 AND mean > 0 AND mean < 1 THEN (xx - n * mean * mean - mean * (1 - mean) * (hosts - 1)) / (n - nn / n) ELSE 0 END AS spread FROM a),
 k AS (SELECT mean, CASE WHEN spread > 0 THEN least(n, greatest(1.0, mean * (1 - mean) / spread - 1)) ELSE n END AS strength FROM v),
-bad AS (SELECT source FROM h, k WHERE (x + mean * strength) / (n + strength) > 0.8)
+bad AS (SELECT source FROM h, k WHERE (x + mean * strength) / (n + strength) > (1 + mean) / 2)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce(source NOT IN (SELECT source FROM bad), TRUE) AS kept FROM b"""
 
 _FIXITY = r"""
@@ -109,4 +110,13 @@ p AS (SELECT *, CAST(coalesce(sum(length) OVER (PARTITION BY warc_file ORDER BY
 SELECT warc_file, "offset", length, record_id, CASE WHEN record_id LIKE '%00' THEN 'missing' ELSE 'corrupt' END AS status, our_digest, CASE WHEN record_id NOT LIKE '%00' THEN sha256(head || '?' || substring(html, 2) || tail) END AS their_digest
 FROM p WHERE page_id % 211 = 17 OR record_id LIKE '%00'"""
 
-ORACLE_SQL = {"op1_secret_scan": _SECRETS, "op6_host_quality": _QUALITY, "op10_warc_fixity": _FIXITY}
+
+def _shards_sql() -> str:
+    """The slot from the key's MD5, and its shard from the claimed table, which is listed."""
+    claimed = ",".join(map(str, sharding.lookup_table(SHARDS)))
+    return f"""WITH t AS (SELECT string_split('{claimed}', ',') AS shards),
+d AS (SELECT doc_id, source, CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) % {sharding.TABLE_SIZE} AS slot FROM documents)
+SELECT doc_id, source, slot, 'shard-' || lpad(shards[slot + 1], 3, '0') AS shard FROM d, t"""
+
+
+ORACLE_SQL = {"op5_sharding": _shards_sql(), "op1_secret_scan": _SECRETS, "op6_host_quality": _QUALITY, "op10_warc_fixity": _FIXITY}

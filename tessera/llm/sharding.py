@@ -66,7 +66,9 @@ def place(df: DataFrame, key_col: str, shards: list[str], *, size: int = TABLE_S
     spark = df.sparkSession
     schema = T.StructType([T.StructField("slot", T.LongType(), False), T.StructField("shard", T.StringType(), False)])
     lookup = spark.createDataFrame([(i, shards[s]) for i, s in enumerate(claimed.tolist())], schema).coalesce(1)
-    return df.drop("slot", "shard").withColumn("slot", key_slot(F.col(key_col), size)).join(F.broadcast(lookup), "slot", "left")
+    # the key may have one of the two names
+    kept = [F.col(f"`{c}`") for c in df.columns if c.lower() not in ("slot", "shard")]
+    return df.select(*kept, key_slot(F.col(f"`{key_col}`"), size).alias("slot")).join(F.broadcast(lookup), "slot", "left").select(*kept, "slot", "shard")
 
 
 def write_shards(placed: DataFrame, path: str, *, files_per_shard: int = 1) -> None:

@@ -8,7 +8,7 @@ equal bits at a chain's start are the join key; the further budgets prune the ca
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from functools import partial
 from itertools import combinations
 
@@ -16,9 +16,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.llm.components import connected_components
-from tessera.llm.common import free_name, small_batches, stored
+from tessera.llm.common import add_in_arrow, free_name, stored
 
 #: For each byte a word of eight byte counters, one for each of its bits.
 _LANES = np.array([sum((b >> i & 1) << (8 * i) for i in range(8)) for b in range(256)], np.uint64)
@@ -41,17 +42,8 @@ def fingerprint(text: bytes, words: int = 3, seed: int = 42) -> int:
 
 def fingerprints(df: DataFrame, *, text_col: str = "text", out: str = "fingerprint", words: int = 3, seed: int = 42, keep_text: bool = False) -> DataFrame:
     """Adds ``out`` (bigint) to each row; a null or wordless text has fingerprint 0. Other columns pass, the text with ``keep_text``; one of that name is replaced."""
-    keep = [f for f in df.schema.fields if f.name != out and (keep_text or f.name != text_col)]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in keep), f"`{out}` bigint"])
-    rest = [f.name for f in keep]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = b.column(text_col)
-            prints = [fingerprint((texts[i].as_py() or "").encode(), words, seed) for i in range(b.num_rows)]
-            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in rest), pa.array(prints, pa.int64())], names=[*rest, out])
-
-    return df.select(*dict.fromkeys([*rest, text_col])).mapInArrow(run, schema)
+    work = lambda texts: [pa.array([fingerprint((cell.as_py() or "").encode(), words, seed) for cell in texts], pa.int64())]
+    return add_in_arrow(df, F.col(f"`{text_col}`"), {out: T.LongType()}, work, drop=() if keep_text else (text_col,))
 
 
 def _rotated(x: Column, by: int) -> Column:
@@ -119,9 +111,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     that links reach and is named by its least id. Null and wordless texts have fingerprint 0
     and are linked like any other. Equal texts and repeated rows share a fingerprint and so
     a component; ids that are null are never a component's name unless it has no other.
-    An empty table gives an empty table. No more than ids and fingerprints is kept or moved.
+    An empty table gives an empty table; texts are read whole, however long. No more than ids and fingerprints is kept or moved.
     """
-    small_batches(docs.sparkSession)
     marked = stored(fingerprints(docs.select(id_col, text_col), text_col=text_col, words=words, seed=seed).select(F.col(id_col), F.col("fingerprint").alias("fp")), "fingerprints")
     groups = marked.groupBy("fp").agg(F.min(id_col).alias("least_id"))
     roots = connected_components(links(marked.select("fp").distinct(), tau=tau, segments=segments))

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import stored
 
-INDEX_SCHEMA = "shard bigint, dim int, n_nodes int, vectors binary, id_ends binary, ids binary, layers int, layer_nodes binary, neighbours binary"
+INDEX_SCHEMA = "shard bigint, dim int, k int, links int, n_nodes int, vectors binary, id_ends binary, ids binary, layers int, layer_nodes binary, neighbours binary"
 NONE = -1
 
 
@@ -153,7 +153,9 @@ def build_index(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str =
 
     Of vectors that are equal, the ``k`` + 1 least ids are kept: no result of ``k`` can name
     another, since ties go to the smaller id. Vectors of different lengths are in different
-    shards. A shard takes about ``shard_rows`` distinct vectors.
+    shards. A shard takes about ``shard_rows`` distinct vectors. ``k`` and ``links`` are kept with the index.
+    Null, empty, zero and not finite vectors and rows with no id are left out, repeated rows count
+    once, an id with several vectors is a node of each; other columns play no part. An empty table gives an index without rows.
     """
     rows = vectors.filter(usable(F.col(vector_col)) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), F.transform(F.col(vector_col), lambda x: x.cast("double") + F.lit(0.0)).alias("v"))
     first = stored(rows.distinct().withColumn("r", F.row_number().over(W.partitionBy("v").orderBy("id"))).filter(F.col("r") <= k + 1), "vectors")
@@ -177,18 +179,18 @@ def build_index(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str =
         layers = build_graph(nodes, links=links, wide=wide)
         flat = lambda parts, kind: np.concatenate([p.ravel() for p in parts]).astype(kind).tobytes()
         sizes = np.array([len(m) for m, _ in layers], np.int32)
-        row = {"shard": key[0].as_py(), "dim": dim, "n_nodes": len(nodes), "vectors": nodes.tobytes(), "id_ends": ends.astype(np.int64).tobytes(), "ids": ids.astype(np.int64).tobytes(), "layers": len(layers), "layer_nodes": flat([sizes, *(m for m, _ in layers)], np.int32), "neighbours": flat([m for _, m in layers], np.int32)}
-        kinds = {"shard": pa.int64(), "dim": pa.int32(), "n_nodes": pa.int32(), "layers": pa.int32()}
+        row = {"shard": key[0].as_py(), "dim": dim, "k": k, "links": links, "n_nodes": len(nodes), "vectors": nodes.tobytes(), "id_ends": ends.astype(np.int64).tobytes(), "ids": ids.astype(np.int64).tobytes(), "layers": len(layers), "layer_nodes": flat([sizes, *(m for m, _ in layers)], np.int32), "neighbours": flat([m for _, m in layers], np.int32)}
+        kinds = {"shard": pa.int64(), "dim": pa.int32(), "k": pa.int32(), "links": pa.int32(), "n_nodes": pa.int32(), "layers": pa.int32()}
         return pa.table({c: pa.array([v], kinds.get(c, pa.binary())) for c, v in row.items()})
 
     return stored(dealt.groupBy("shard", "dim").applyInArrow(build, INDEX_SCHEMA), "graphs")
 
 
-def unpack(row: dict, links: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+def unpack(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
     """An index row's vectors, ids, ends of each node's ids, and layers."""
     x = np.frombuffer(row["vectors"], np.float64).reshape(row["n_nodes"], row["dim"])
     numbers = np.frombuffer(row["layer_nodes"], np.int32)
-    near = np.frombuffer(row["neighbours"], np.int32).reshape(-1, 2 * links)
+    near = np.frombuffer(row["neighbours"], np.int32).reshape(-1, 2 * row["links"])
     layers, at = [], 0
     for size in numbers[: row["layers"]]:
         layers.append((numbers[row["layers"] + at : row["layers"] + at + size], near[at : at + size]))
@@ -196,13 +198,18 @@ def unpack(row: dict, links: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, l
     return x, np.frombuffer(row["ids"], np.int64), np.frombuffer(row["id_ends"], np.int64), layers
 
 
-def search_index(index: DataFrame, queries: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, wide: int = 96, block_rows: int = 1024, links: int = 16) -> DataFrame:
+def search_index(index: DataFrame, queries: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, wide: int = 96, block_rows: int = 1 << 16) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's ``k`` nearest found, ties to the smaller id; its own id is no candidate.
 
     Queries go in blocks of about ``block_rows`` to every shard of their length. A query whose
     vector is null, zero or not finite has no rows. Score: the inner product in double precision.
-    A query id that repeats with different vectors is ranked over all of them.
+    A query id that repeats with different vectors is ranked over all of them; repeated rows count once, other
+    columns play no part. No queries, or an index without rows, give no rows. ``k`` may not be more than the index was
+    built for. The graphs are walked in single precision; what is found is scored in double.
     """
+    most = index.agg(F.min("k")).first()[0]
+    if most is not None and k > most:
+        raise ValueError(f"the index keeps the ids for {most} neighbours, not {k}")
     asked = queries.filter(usable(F.col(vector_col)) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("query_id"), F.transform(F.col(vector_col), lambda x: x.cast("double") + F.lit(0.0)).alias("q")).distinct()
     asked = asked.withColumn("dim", F.size("q"))
     blocks = max(1, math.ceil(asked.count() / block_rows))
@@ -215,12 +222,13 @@ def search_index(index: DataFrame, queries: DataFrame, *, id_col: str = "vec_id"
         empty = {"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())}
         if not graph.num_rows or not ask.num_rows:
             return pa.table(empty)
-        x, ids, ends, layers = unpack(graph.to_pylist()[0], links)
+        x, ids, ends, layers = unpack(graph.to_pylist()[0])
         q = ask.column("q").combine_chunks().flatten().to_numpy().reshape(-1, x.shape[1])
         names = ask.column("query_id").to_numpy()
+        x32, q32 = x.astype(np.float32), q.astype(np.float32)
         out = []
         for a in range(0, len(q), 256):
-            found = search_graph(x, layers, q[a : a + 256], max(wide, k + 1))
+            found = search_graph(x32, layers, q32[a : a + 256], max(wide, k + 1))
             rows, cols = np.nonzero(found >= 0)
             node = found[rows, cols]
             first = np.where(node > 0, ends[node - 1], 0)

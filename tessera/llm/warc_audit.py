@@ -3,7 +3,7 @@
 The leaves of a file's tree are its records' digests by offset; each level above covers
 ordered, aligned ranges of offsets, sixteen times as long as those below. Replicas are
 compared at their roots, and only below nodes that differ does the comparison go on, down to
-the records that are damaged, missing or too many. DataFrame functions only.
+the records that are damaged, missing, too many or moved. DataFrame functions only.
 """
 
 from __future__ import annotations
@@ -26,20 +26,28 @@ def record_bytes(record_id: Column, uri: Column, payload: Column) -> Column:
     return F.concat(head.cast("binary"), body, F.lit("\r\n\r\n").cast("binary"))
 
 
-def archive(pages: DataFrame, *, id_col: str = "page_id", uri_col: str = "url", payload_col: str = "html", per_file: int = 512) -> DataFrame:
+def archive(pages: DataFrame, *, id_col: str = "page_id", uri_col: str = "url", payload_col: str = "html", per_file: int = 512, most: int = 8192) -> DataFrame:
     """Lays pages out as WARC files: (warc_file, offset, length, record_id, digest), a row for each record.
 
     A file holds ``per_file`` consecutive ids, by id and then digest, gapless from offset 0;
-    repeated rows are records of their own. A page with no id goes to one of 4096 further
-    files, numbered from -1 down, by its digest. Payloads don't leave their partition.
+    repeated rows are records of their own, laid one after the other. A page with no id goes to one of 4096 further
+    files, numbered from -1 down, by its digest. A file that would hold more than ``most`` different records (an id of
+    many contents) is split by digest; the further parts' numbers are 2**40 apart, which takes ids up to 2**49. Null addresses and payloads
+    count as empty, payloads are read whole and don't leave their partition, other columns play no part. An empty table gives an empty table.
     """
-    record_id = F.concat(F.lit("urn:page:"), F.coalesce(F.col(id_col).cast("string"), F.lit("none")))
-    raw = pages.select(F.col(id_col).alias("_id"), record_id.alias("record_id"), record_bytes(record_id, F.col(uri_col), F.col(payload_col)).alias("_bytes"))
+    record_id = F.concat(F.lit("urn:page:"), F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("none")))
+    raw = pages.select(F.col(f"`{id_col}`").alias("_id"), record_id.alias("record_id"), record_bytes(record_id, F.col(f"`{uri_col}`"), F.col(f"`{payload_col}`")).alias("_bytes"))
     laid = raw.select("_id", "record_id", F.octet_length("_bytes").cast("bigint").alias("length"), F.sha2("_bytes", 256).alias("digest"))
-    spare = -1 - F.pmod(F.crc32(F.col("digest").cast("binary")), F.lit(4096))
-    numbered = laid.withColumn("warc_file", F.coalesce(F.floor(F.col("_id") / F.lit(per_file)).cast("bigint"), spare))
+    once = laid.groupBy("_id", "record_id", "length", "digest").agg(F.count("*").alias("times"))
+    salt = F.crc32(F.col("digest").cast("binary"))
+    once = stored(once.withColumn("file", F.coalesce(F.floor(F.col("_id") / F.lit(per_file)).cast("bigint"), -1 - F.pmod(salt, F.lit(4096)))), "records")
+    crowded = once.groupBy("file").agg(F.ceil(F.count("*") / F.lit(most)).alias("parts")).filter("parts > 1")
+    part = F.pmod(F.floor(salt / F.lit(4096)), F.coalesce("parts", F.lit(1).cast("bigint"))) * F.lit(1 << 40)
+    numbered = once.join(crowded, "file", "left").withColumn("warc_file", F.when(F.col("file") < 0, F.col("file") - part).otherwise(F.col("file") + part))
     before = W.partitionBy("warc_file").orderBy("_id", "digest", "record_id").rowsBetween(W.unboundedPreceding, -1)
-    return numbered.select("warc_file", F.coalesce(F.sum("length").over(before), F.lit(0)).cast("bigint").alias("offset"), "length", "record_id", "digest")
+    placed = numbered.withColumn("start", F.coalesce(F.sum(F.col("times") * F.col("length")).over(before), F.lit(0)).cast("bigint"))
+    each = placed.select("warc_file", "start", "length", "record_id", "digest", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("times") - 1)).alias("i"))
+    return each.select("warc_file", (F.col("start") + F.col("i") * F.col("length")).alias("offset"), "length", "record_id", "digest")
 
 
 def _node(offset: Column, level: int) -> Column:
@@ -65,13 +73,15 @@ def merkle_tree(records: DataFrame) -> DataFrame:
     return stored(tree, "merkle")
 
 
-def audit(ours: DataFrame, theirs: DataFrame) -> DataFrame:
+def audit(ours: DataFrame, theirs: DataFrame, *, moved: bool = False) -> DataFrame:
     """Records in which two replicas differ: (warc_file, offset, length, record_id, status, our_digest, their_digest).
 
-    Both: tables as ``archive`` gives. ``status``: corrupt (same place, other bytes), missing
-    (only ours) or extra (only theirs); length and record_id are ours where we have the record.
-    Equal replicas, and empty ones, give no rows. Of repeated records at one place only
-    the numbers must differ to be found: each is compared with each of the other replica.
+    Both: tables as ``archive`` gives. Below ranges that differ, records of a file are matched by their name and bytes,
+    wherever they lie, so that a lost record is one row though all that follow it moved up. ``status``: corrupt (of that
+    name both have a record that the other has not), missing (only ours) or extra (only theirs); offset, length and
+    record_id are ours where we have the record. With ``moved`` records that both have at other offsets are listed too, as moved.
+    Records that repeat are compared by their numbers: those too few or too many are listed, the last ones first.
+    Equal replicas, and empty ones, give no rows.
     """
     ours, theirs = stored(ours, "replica"), stored(theirs, "replica")
     mine, other = merkle_tree(ours), merkle_tree(theirs)
@@ -83,10 +93,26 @@ def audit(ours: DataFrame, theirs: DataFrame) -> DataFrame:
             a, b = (x.withColumn("up", F.floor(F.col("node") / F.lit(FANOUT)).cast("bigint")).join(suspect, ["warc_file", "up"], "left_semi").drop("up") for x in (a, b))
         differ = a.join(b, ["warc_file", "node"], "full").filter(~F.col("a").eqNullSafe(F.col("b"))).select("warc_file", "node")
         suspect = stored(differ.withColumnRenamed("node", "up"), "suspect")
-    place = ["warc_file", "offset"]
-    a, b = (x.withColumn("up", _node(F.col("offset"), 1)).join(suspect, ["warc_file", "up"], "left_semi").drop("up") for x in (ours, theirs))
-    a = a.select(*place, F.col("length").alias("la"), F.col("record_id").alias("ra"), F.col("digest").alias("our_digest"))
-    b = b.select(*place, F.col("length").alias("lb"), F.col("record_id").alias("rb"), F.col("digest").alias("their_digest"))
-    status = F.when(F.col("our_digest").isNull(), "extra").when(F.col("their_digest").isNull(), "missing").otherwise("corrupt")
-    joined = a.join(b, place, "full").filter(~F.col("our_digest").eqNullSafe(F.col("their_digest")))
-    return joined.select(*place, F.coalesce("la", "lb").alias("length"), F.coalesce("ra", "rb").alias("record_id"), status.alias("status"), "our_digest", "their_digest")
+    what = ["warc_file", "record_id", "digest", "length"]
+
+    def counted(side: DataFrame, name: str) -> DataFrame:
+        near = side.withColumn("up", _node(F.col("offset"), 1)).join(suspect, ["warc_file", "up"], "left_semi")
+        return near.groupBy(*what).agg(F.count("*").alias(f"n_{name}"), F.min("offset").alias(f"low_{name}"), F.max("offset").alias(f"high_{name}"))
+
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0).cast("bigint"))
+    both = stored(counted(ours, "a").join(counted(theirs, "b"), what, "full").withColumn("more", zero("n_a") - zero("n_b")), "compared")
+
+    def single(name: str, sign: int) -> DataFrame:
+        """The records that one side has too many, numbered within their name."""
+        too_many = both.filter(F.col("more") * sign > 0)
+        rows = too_many.select(*what, f"high_{name}", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("more") * sign - 1)).alias("i"))
+        rows = rows.select("warc_file", "record_id", F.col("digest").alias(f"d_{name}"), F.col("length").alias(f"l_{name}"), (F.col(f"high_{name}") - F.col("i") * F.col("length")).alias(f"o_{name}"))
+        return rows.withColumn("i", F.row_number().over(W.partitionBy("warc_file", "record_id").orderBy(f"o_{name}", f"d_{name}")))
+
+    status = F.when(F.col("d_a").isNull(), "extra").when(F.col("d_b").isNull(), "missing").otherwise("corrupt")
+    paired = single("a", 1).join(single("b", -1), ["warc_file", "record_id", "i"], "full")
+    found = paired.select("warc_file", F.coalesce("o_a", "o_b").alias("offset"), F.coalesce("l_a", "l_b").alias("length"), "record_id", status.alias("status"), F.col("d_a").alias("our_digest"), F.col("d_b").alias("their_digest"))
+    if not moved:
+        return found
+    elsewhere = both.filter((F.col("n_a") > 0) & (F.col("n_b") > 0) & ((F.col("low_a") != F.col("low_b")) | (F.col("more") == 0) & (F.col("high_a") != F.col("high_b"))))
+    return found.unionByName(elsewhere.select("warc_file", F.col("low_a").alias("offset"), "length", "record_id", F.lit("moved").alias("status"), F.col("digest").alias("our_digest"), F.col("digest").alias("their_digest")))

@@ -5,11 +5,13 @@ import zlib
 
 import public_tokenizers as P
 from pyspark.sql import functions as F
-from test_texts import base_spans, plain_features, plain_print
+from test_shingles import plain_kept
+from test_texts import base_spans, plain_features
 
 import corpus_pipeline
 from tessera.llm import language
 
+
 def plain_quality(docs):
     failed = {}
     for i, d in docs.items():
@@ -25,25 +27,13 @@ def plain_quality(docs):
     between = sum(n[h] * (x[h] / n[h] - mean) ** 2 for h in n) - mean * (1 - mean) * (len(n) - 1)
     spread = between / (total - sum(v * v for v in n.values()) / total)
     strength = min(total, max(1.0, mean * (1 - mean) / spread - 1)) if spread > 0 else total
-    bad = {h for h in n if (x[h] + mean * strength) / (n[h] + strength) > 0.8}
+    bad = {h for h in n if (x[h] + mean * strength) / (n[h] + strength) > (1 + mean) / 2}
     return {i: d for i, d in docs.items() if not failed[i] and d["source"] not in bad}
 
 
 def plain_dedup(docs):
-    prints = {i: plain_print((d["text"] or "").encode()) for i, d in docs.items()}
-    root = {i: i for i in docs}
-
-    def find(i):
-        while root[i] != i:
-            i = root[i]
-        return i
-
-    for i in docs:
-        for j in docs:
-            if i < j and (prints[i] ^ prints[j]).bit_count() <= 2:
-                a, b = sorted((find(i), find(j)))
-                root[b] = a
-    return {i: d for i, d in docs.items() if find(i) == i}
+    kept = plain_kept({i: d["text"] for i, d in docs.items()})
+    return {i: d for i, d in docs.items() if i in kept}
 
 
 def plain_mask(text):
