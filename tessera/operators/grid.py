@@ -20,7 +20,12 @@ LEAST_FILL = 1e-12
 
 def global_mbr(polygons: DataFrame) -> DataFrame:
     """One row (xmin, ymin, xmax, ymax) around all polygons; zeros if there are none."""
-    boxes = polygons.select(g.mbr(F.col("rings")).alias("b"))
+    return bounds(polygons, g.mbr(F.col("rings")))
+
+
+def bounds(rows: DataFrame, box: Column) -> DataFrame:
+    """One row (xmin, ymin, xmax, ymax) around the boxes of all rows; zeros if there are none."""
+    boxes = rows.select(box.alias("b"))
     zero = lambda c: F.coalesce(c, F.lit(0.0))
     return boxes.agg(zero(F.min("b.xmin")).alias("xmin"), zero(F.min("b.ymin")).alias("ymin"), zero(F.max("b.xmax")).alias("xmax"), zero(F.max("b.ymax")).alias("ymax"))
 

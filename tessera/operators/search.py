@@ -12,13 +12,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.functions import geometry as g
 from tessera.functions.kernels import Edges, distances, overlap_matrix, overlap_pairs
-from tessera.operators.grid import global_mbr
+from tessera.operators.grid import bounds
 from tessera.operators.minhash import Darts, signatures
 from tessera.session import stored
 
@@ -28,9 +28,20 @@ def centred(polygons: DataFrame) -> DataFrame:
     return polygons.withColumn("rings", g.center(F.col("rings")))
 
 
+def digest(rings: Column) -> Column:
+    """SHA-256 of the rings."""
+    return F.sha2(F.to_json(rings).cast("binary"), 256)
+
+
 def shaped(polygons: DataFrame) -> DataFrame:
     """Adds ``edges`` and ``shape``, a digest of the rings, to centred polygons."""
-    return polygons.withColumn("edges", g.edges(F.col("rings"))).withColumn("shape", F.sha2(F.to_json("rings").cast("binary"), 256))
+    return polygons.withColumn("edges", g.edges(F.col("rings"))).withColumn("shape", digest(F.col("rings")))
+
+
+def _once(queries: DataFrame, *more: Column) -> tuple[DataFrame, DataFrame]:
+    """The ids (shape, id) of queries, kept in the shared folder with their rings, and their distinct shapes (shape, rings, n_parts, further aggregates)."""
+    named = stored(queries.select("id", "rings", "n_parts", digest(F.col("rings")).alias("shape")), "queries")
+    return named.select("shape", "id"), named.groupBy("shape").agg(F.first("rings").alias("rings"), F.first("n_parts").alias("n_parts"), *more)
 
 
 def _members(with_shape: DataFrame, k: int) -> DataFrame:
@@ -64,8 +75,9 @@ def exact_knn(queries: DataFrame, data: DataFrame, k: int = 10, block: int = 102
     pair. Pairs whose union has no area have no distance and are left out. The distinct shapes are
     kept in the shared folder: they are counted before they are dealt.
     """
-    q, d = shaped(queries), shaped(data)
-    left = stored(q.groupBy("shape").agg(F.first("edges").alias("edges")), "query-shapes")
+    q, shapes = _once(queries)
+    d = shaped(data)
+    left = stored(shapes.select("shape", g.edges(F.col("rings")).alias("edges")), "query-shapes")
     right = stored(_members(d, k), "shapes")
     n_left, n_right = (max(1, math.ceil(x.count() / block)) for x in (left, right))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
@@ -119,11 +131,13 @@ class LshIndex:
 
     @classmethod
     def fit(cls, data: DataFrame, darts: Darts = Darts(), ring: str = "exterior", box: Row | None = None) -> "LshIndex":
-        box = box or global_mbr(data).first()
-        d = shaped(data)
-        shapes = stored(d.groupBy("shape").agg(F.first("edges").alias("edges"), F.first("rings").alias("rings"), F.first("n_parts").alias("n_parts")), "shapes")
-        members = stored(d.select("shape", "id"), "members")
-        return cls(shapes, members, stored(cls._sign(shapes, box, darts, ring), "signatures"), box, darts, ring)
+        """``data``: centred polygons, worked out once; ``box``: that of all of them unless it is given."""
+        named = data.select("id", "rings", "n_parts", g.mbr(F.col("rings")).alias("box"), digest(F.col("rings")).alias("shape"))
+        members = stored(named, "members")
+        box = box or bounds(members, F.col("box")).first()
+        once = members.groupBy("shape").agg(F.first("rings").alias("rings"), F.first("n_parts").alias("n_parts"))
+        shapes = stored(once.select("shape", g.edges(F.col("rings")).alias("edges"), "rings", "n_parts"), "shapes")
+        return cls(shapes, members.select("shape", "id"), stored(cls._sign(shapes, box, darts, ring), "signatures"), box, darts, ring)
 
     @staticmethod
     def _sign(shapes: DataFrame, box: Row, darts: Darts, ring: str) -> DataFrame:
@@ -177,12 +191,50 @@ class LshIndex:
         count = lambda rows, signed, name: rows.join(signed.select("shape").distinct(), "shape", "left_anti").agg(F.count("*").alias(name))
         return count(self.members, self.signed, "data").crossJoin(count(q, asked, "queries"))
 
+    def _dealt(self, queries: DataFrame, *more: str, bin_rows: int = 4096, block: int = 1024) -> tuple[DataFrame, DataFrame]:
+        """Shapes of queries and data, a row for each table, with the columns ``more``, dealt so that those of one bucket meet in a task.
+
+        Columns: group, sub, shape, table_id, key (of the bucket), sig (the keys of all tables in order). Small buckets share a group; one of more
+        than ``block`` shapes of a side is cut into blocks, each of which meets each of the other side.
+        """
+        asked = stored(self._sign(queries.select("shape", "rings", "n_parts"), self.box, self.darts, self.ring), "asked")
+        of = lambda signed: signed.select("shape", "table_id", F.xxhash64("table_id", "hash").alias("key"))
+        sides = [of(asked), of(self.signed)]
+        bins = max(1, math.ceil(self.signed.count() / bin_rows))
+        large = [x.groupBy("key").agg(F.ceil(F.count("*") / F.lit(block)).alias(n)).filter(F.col(n) > 1) for x, n in zip(sides, ("nq", "nd"), strict=True)]
+        blocks = stored(large[0].join(large[1], "key", "full").select("key", *(F.coalesce(n, F.lit(1).cast("bigint")).alias(n) for n in ("nq", "nd"))), "large-buckets")
+        one = F.lit(1).cast("bigint")
+
+        def laid(side: DataFrame, table: DataFrame, own: str, other: str, scale: Column, step: Column) -> DataFrame:
+            """``scale`` times the own block and ``step`` times each block of the other side number the pairs of blocks."""
+            sigs = side.groupBy("shape").agg(F.sort_array(F.collect_list(F.struct("table_id", "key"))).alias("t")).select("shape", F.transform("t", lambda x: x["key"]).alias("sig"))
+            rows = side.join(sigs.join(table.select("shape", *more), "shape"), "shape").join(blocks, "key", "left")
+            mine = F.pmod(F.xxhash64("shape"), F.coalesce(own, one)) * scale
+            sub = F.transform(F.sequence(F.lit(0).cast("bigint"), F.coalesce(other, one) - 1), lambda x: mine + x * step)
+            large = F.col(own).isNotNull()
+            group = F.when(large, F.col("key")).otherwise(F.pmod("key", F.lit(bins)))
+            return rows.select(group.alias("group"), F.explode(F.when(large, sub).otherwise(F.array(F.lit(0).cast("bigint")))).alias("sub"), "shape", "table_id", "key", "sig", *more)
+
+        nd = F.coalesce("nd", one)
+        return laid(sides[0], queries, "nq", "nd", nd, one), laid(sides[1], self.shapes, "nd", "nq", one, nd)
+
     def knn(self, queries: DataFrame, k: int = 10) -> DataFrame:
-        """(query_id, neighbor_id, distance, rank) among the candidates; a query without any has no row."""
-        q = shaped(queries)
-        asked = q.groupBy("shape").agg(F.first("edges").alias("edges_a")).withColumnRenamed("shape", "qshape")
-        pairs = self.shape_candidates(q).join(asked, "qshape").join(self.shapes.select("shape", F.col("edges").alias("edges_b")), "shape")
-        near = pair_distances(pairs).filter("distance IS NOT NULL")
+        """(query_id, neighbor_id, distance, rank) among the candidates; a query without any has no row.
+
+        A task holds the shapes of whole buckets, or blocks of a large one, and looks at a pair in
+        the first table that it shares only. No row is made for a pair: of each query the candidates of most equal area, which bounds the similarity, come
+        first, and those whose bound is below the k-th best are never compared.
+        """
+        q, shapes = _once(queries)
+        asked = stored(shapes.withColumn("edges", g.edges(F.col("rings"))), "query-shapes")
+        left, right = self._dealt(asked, "edges")
+
+        def run(a: pa.Table, b: pa.Table) -> pa.Table:
+            found = [best_pairs(a, b, i, j, k) for i, j in shared_pairs(a, b)] if a.num_rows and b.num_rows else []
+            i, j, d = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
+            return pa.table({"qshape": a.column("shape").take(pa.array(i)), "shape": b.column("shape").take(pa.array(j)), "distance": pa.array(d, pa.float64())})
+
+        near = left.groupBy("group", "sub").cogroup(right.groupBy("group", "sub")).applyInArrow(run, "qshape string, shape string, distance double")
         least = self.members.withColumn("_r", F.row_number().over(W.partitionBy("shape").orderBy("id"))).filter(F.col("_r") <= k).select("shape", F.col("id").alias("neighbor_id"))
         # no more than k shapes at different distances, and those that tie, reach the ids
         rank = F.dense_rank().over(W.partitionBy("qshape").orderBy("distance"))
@@ -193,11 +245,81 @@ class LshIndex:
     def pruning(self, queries: DataFrame) -> DataFrame:
         """One row (refined, possible, pruned_pct): pairs that were compared, all pairs, and the part that wasn't, in percent.
 
-        Pairs are counted from the numbers of ids of each shape; none is made.
+        Pairs of ids are counted from the pairs of shapes and the numbers of ids of each, in the tasks that hold the buckets; no row is made for a pair.
         """
-        q = shaped(queries)
-        nq = q.groupBy("shape").agg(F.count("*").alias("nq")).withColumnRenamed("shape", "qshape")
-        nd = self.members.groupBy("shape").agg(F.count("*").alias("nd"))
-        met = self.shape_candidates(q).join(nq, "qshape").join(nd, "shape").agg(F.coalesce(F.sum(F.col("nq") * F.col("nd")), F.lit(0)).alias("refined"))
+        q, shapes = _once(queries, F.count("*").alias("n"))
+        asked = stored(shapes, "query-shapes")
+        held = LshIndex(self.shapes.join(self.members.groupBy("shape").agg(F.count("*").alias("n")), "shape"), self.members, self.signed, self.box, self.darts, self.ring)
+        left, right = held._dealt(asked, "n")
+
+        def run(a: pa.Table, b: pa.Table) -> pa.Table:
+            total = 0
+            if a.num_rows and b.num_rows:
+                na, nb = a.column("n").to_numpy(), b.column("n").to_numpy()
+                total = sum(int((na[i] * nb[j]).sum()) for i, j in shared_pairs(a, b))
+            return pa.table({"refined": pa.array([total], pa.int64())})
+
+        counted = left.groupBy("group", "sub").cogroup(right.groupBy("group", "sub")).applyInArrow(run, "refined bigint")
+        met = counted.agg(F.coalesce(F.sum("refined"), F.lit(0).cast("bigint")).alias("refined"))
         possible = q.count() * self.members.count()
         return met.select("refined", F.lit(possible).cast("bigint").alias("possible"), (F.lit(100.0) * (1 - F.try_divide(F.col("refined").cast("double"), F.lit(float(possible))))).alias("pruned_pct"))
+
+
+def shared_pairs(a: pa.Table, b: pa.Table, step: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places (i, j) in ``a`` and ``b`` (key, table_id, sig) of rows of one bucket, but for shapes that share a bucket of an earlier table; about ``step`` pairs at once, all of a row of ``a`` that are found in its bucket together."""
+    ka, kb, t = a.column("key").to_numpy(), b.column("key").to_numpy(), a.column("table_id").to_numpy()
+    width = len(a.column("sig")[0])
+    sa, sb = (x.column("sig").combine_chunks().flatten().to_numpy().reshape(-1, width) for x in (a, b))
+    order = np.argsort(kb, kind="stable")
+    low, high = np.searchsorted(kb[order], ka, "left"), np.searchsorted(kb[order], ka, "right")
+    ends = np.concatenate([[0], np.cumsum(high - low)])
+    start = 0
+    while start < len(ka):
+        end = max(start + 1, int(np.searchsorted(ends, ends[start] + step, "right")) - 1)
+        n = (high - low)[start:end]
+        i = np.repeat(np.arange(start, end), n)
+        j = order[np.arange(n.sum()) - np.repeat(ends[start:end] - ends[start], n) + np.repeat(low[start:end], n)]
+        fresh = np.ones(len(i), bool)
+        for column in range(int(t[start:end].max(initial=0))):
+            fresh &= (t[i] <= column) | (sa[i, column] != sb[j, column])
+        yield i[fresh], j[fresh]
+        start = end
+
+
+def best_pairs(a: pa.Table, b: pa.Table, i: np.ndarray, j: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the pairs those that can be among the ``k`` nearest of a row of ``a``, with their distances."""
+    ea, eb = Edges.of(a.column("edges")), Edges.of(b.column("edges"))
+    area_a, area_b = ea.areas()[i], eb.areas()[j]
+    top = np.maximum(area_a, area_b)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        bound = np.where(top > 0, np.minimum(area_a, area_b) / top, 0.0)
+    order = np.lexsort((-bound, i))
+    i, j, bound = i[order], j[order], bound[order]
+    first = np.searchsorted(i, i)
+    place = np.arange(len(i)) - first
+    dist = np.full(len(i), np.nan)
+
+    def compare(which: np.ndarray) -> None:
+        x, y = ea.take(i[which]), eb.take(j[which])
+        dist[which] = distances(overlap_pairs(x, y), x.areas(), y.areas())
+
+    head = np.flatnonzero(place < k)
+    for at in range(0, len(head), 1 << 16):
+        compare(head[at : at + (1 << 16)])
+    # the k-th best so far of each row that has k; rounding may lift a similarity over its bound by little
+    worst = np.full(a.num_rows, -np.inf)
+    full = np.bincount(i[head], ~np.isnan(dist[head]), a.num_rows) >= k
+    np.maximum.at(worst, i[head], np.nan_to_num(dist[head], nan=-np.inf))
+    worst = np.where(full, worst, np.inf)
+    rest = np.flatnonzero((place >= k) & (1 - bound <= worst[i] + 1e-9))
+    for at in range(0, len(rest), 1 << 16):
+        compare(rest[at : at + (1 << 16)])
+    seen = np.flatnonzero(~np.isnan(dist))
+    seen = seen[np.lexsort((dist[seen], i[seen]))]
+    own = i[seen]
+    rank = np.arange(len(seen)) - np.searchsorted(own, own)
+    # ties with the k-th stay
+    limit = np.full(a.num_rows, np.inf)
+    limit[own[rank == k - 1]] = dist[seen][rank == k - 1]
+    kept = seen[dist[seen] <= limit[own]]
+    return i[kept], j[kept], dist[kept]

@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 
 from tessera.functions import geometry as g
 from tessera.operators import evaluate, grid, minhash, search, sinks, weighted
+from tessera.session import fresh_path
 from tessera.sources import polygons as sources
-from tessera.sources.derived import ell, octagon, polygons
+from tessera.sources.derived import ell, irregular, octagon, polygons
 
 K = 10
 #: Enough points for the smallest octagon: it covers over a twentieth of the box.
@@ -23,14 +24,24 @@ SIZE = 25
 ATTEMPTS = 1024
 
 
+def _keys(spark: SparkSession, sf: str, table: str, key: str) -> DataFrame:
+    """The keys of a table, dealt out to all cores where it has fewer partitions: the work on a polygon is far more than its key."""
+    keys = spark.read.parquet(f"{sf}/{table}.parquet").select(key)
+    cores = spark.sparkContext.defaultParallelism
+    return keys.repartition(cores) if keys.rdd.getNumPartitions() < cores else keys
+
+
+@cache
 def _part(spark: SparkSession, sf: str, shape=octagon) -> DataFrame:
-    return polygons(spark.read.parquet(f"{sf}/part.parquet"), "p_partkey", shape=shape)
+    return polygons(_keys(spark, sf, "part", "p_partkey"), "p_partkey", shape=shape)
 
 
+@cache
 def _supplier(spark: SparkSession, sf: str) -> DataFrame:
-    return polygons(spark.read.parquet(f"{sf}/supplier.parquet"), "s_suppkey", F.col("s_suppkey") * 31 + 5)
+    return polygons(_keys(spark, sf, "supplier", "s_suppkey"), "s_suppkey", F.col("s_suppkey") * 31 + 5)
 
 
+@cache
 def _sides(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """Centred (queries, data)."""
     return search.centred(_supplier(spark, sf)), search.centred(_part(spark, sf))
@@ -227,7 +238,154 @@ def result_text_roundtrip(spark, sf):
     return sources.parse_results(sinks.result_blocks(lsh_knn(spark, sf)))
 
 
-QUERIES = {f.__name__: f for f in (scan_polygons, center_polygon, polygon_area, polygon_centroid, polygon_mbr, global_mbr, grid_cells, fill_ratio, sketch, occupied_cells, sketch_jaccard, sketch_join_distance, point_in_polygon, jaccard_distance, polygon_coordinates, similarity, sketch_minhash, consistent_minhash, darts, minhash_signatures, minhash_by_cells, signature_stats, lsh_buckets, bucket_contents, bucket_sizes, lsh_candidates, lsh_knn, bf_knn, pruning_ratio, top1_stats, eval_per_query, eval_global, eval_global_all, result_text_roundtrip)}
+# --- shapes that are all different: concave, with holes, in two parts
+
+#: More and longer signatures than the fixed values: few pairs meet.
+FINE = minhash.Darts(tables=6, length=3, attempts=1024)
+
+
+@cache
+def _irregular(spark, sf):
+    """Centred (queries, data)."""
+    data = polygons(_keys(spark, sf, "part", "p_partkey"), "p_partkey", shape=irregular)
+    asked = polygons(_keys(spark, sf, "supplier", "s_suppkey"), "s_suppkey", F.col("s_suppkey") * 31 + 5, shape=irregular)
+    return search.centred(asked), search.centred(data)
+
+
+def irregular_shapes(spark, sf):
+    """Areas and parts, and the box as a polygon."""
+    e = F.col("rings")
+    d = _irregular(spark, sf)[1].select("id", F.round(g.area(e), 9).alias("area"), F.col("n_parts").cast("bigint").alias("n_parts"), g.box_polygon(g.mbr(e)).alias("box"))
+    return d.select("id", "area", "n_parts", F.round(g.area(F.col("box")), 9).alias("box_area"), F.size(g.exterior(F.col("box"))).cast("bigint").alias("box_points"))
+
+
+def _near(found):
+    return found.select("query_id", "neighbor_id", F.round(F.col("distance") + 1e-9, 6).alias("distance"), "rank")
+
+
+def irregular_bf_knn(spark, sf):
+    """Exact search; polygons in several parts count."""
+    return _near(search.exact_knn(*_irregular(spark, sf), K))
+
+
+def _fine_index(spark, sf):
+    return search.LshIndex.fit(_irregular(spark, sf)[1], FINE)
+
+
+def irregular_lsh_knn(spark, sf):
+    """Search through signatures of outer rings; polygons in several parts aren't in the index."""
+    return _near(_fine_index(spark, sf).knn(_irregular(spark, sf)[0], K))
+
+
+def irregular_pruning(spark, sf):
+    return _fine_index(spark, sf).pruning(_irregular(spark, sf)[0])
+
+
+def irregular_excluded(spark, sf):
+    """How many polygons have no signature."""
+    return _fine_index(spark, sf).excluded(_irregular(spark, sf)[0])
+
+
+# --- readers and sinks, by way of files in the shared folder
+
+
+def _line(*parts):
+    return F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+
+
+def _mixed_lines(spark, sf):
+    """Lines by the key modulo 8: a square, a point, two polygons, broken text, one tab, none, an empty line, a ring without area."""
+    k = F.col("p_partkey") + 1
+    square = _line("POLYGON ((0 0, ", k, " 0, ", k, " ", k, ", 0 ", k, ", 0 0))")
+    forms = [_line(k, "\t", square, "\tx"), _line(k, "\tPOINT (", k, " 1)\tx"), _line(k, "\tMULTIPOLYGON (((0 0, 1 0, 1 1, 0 0)))\t"), _line(k, "\tPOLYGON ((0 0, ", k, "\tx"), _line(k, "\t", square), _line(k, " ", square), F.lit(""), _line(k, "\tPOLYGON ((0 0, 1 1, 2 2, 0 0))\tx")]
+    value = forms[-1]
+    for i, form in enumerate(forms[:-1]):
+        value = F.when(k % 8 == i, form).otherwise(value)
+    return spark.read.parquet(f"{sf}/part.parquet").select(value.alias("value"))
+
+
+def rejected_lines(spark, sf):
+    _, rejects = sources.polygons_of_lines(_mixed_lines(spark, sf))
+    return rejects.select("line", F.substring_index("reason", ":", 1).alias("reason"))
+
+
+def last_line_wins(spark, sf):
+    """Lines of a file with a hundred ids, dealt out before they are read."""
+    k = F.col("p_partkey")
+    lines = spark.read.parquet(f"{sf}/part.parquet").select("p_partkey", _line(k % 100, "\tPOLYGON ((0 0, ", k, " 0, ", k, " 1, 0 1, 0 0))\tx").alias("value"))
+    path = fresh_path(spark, "lines")
+    lines.orderBy("p_partkey").select("value").write.text(path)
+    read, _ = sources.read_wkt_with_id(spark, path, partitions=7)
+    return read.select("id", g.area(F.col("rings")).alias("area"))
+
+
+def repaired_polygons(spark, sf):
+    """By the key modulo 4 a square, a bow tie, a square with a spike, and a square whose hole reaches out of it."""
+    k = F.col("p_partkey") + 1
+    forms = [_line("((0 0, ", k, " 0, ", k, " ", k, ", 0 ", k, ", 0 0))"), _line("((0 0, ", k, " ", k, ", ", k, " 0, 0 ", k, ", 0 0))"), _line("((0 0, ", k, " 0, ", k, " ", k, ", ", k, " ", k + 5, ", ", k, " ", k, ", 0 ", k, ", 0 0))"), _line("((0 0, ", 4 * k, " 0, ", 4 * k, " ", 4 * k, ", 0 ", 4 * k, ", 0 0), (", 3 * k, " ", k, ", ", 5 * k, " ", k, ", ", 5 * k, " ", 2 * k, ", ", 3 * k, " ", 2 * k, ", ", 3 * k, " ", k, "))")]
+    value = forms[-1]
+    for i, form in enumerate(forms[:-1]):
+        value = F.when(k % 4 == i, form).otherwise(value)
+    lines = spark.read.parquet(f"{sf}/part.parquet").select(_line(k, "\tPOLYGON ", value, "\t").alias("value"))
+    read, _ = sources.polygons_of_lines(lines)
+    return read.select("id", g.area(F.col("rings")).alias("area"), F.col("n_parts").cast("bigint").alias("n_parts"), "repaired")
+
+
+def _shape_sums(read):
+    """Polygons of a reader without ids, by their areas."""
+    return read.groupBy(F.round(g.area(F.col("rings")), 6).alias("area")).agg(F.count("*").alias("n"))
+
+
+def header_tsv(spark, sf):
+    path = fresh_path(spark, "header")
+    _part(spark, sf).select(g.to_wkt(F.col("rings")).alias("wkt"), "id").write.option("sep", "\t").option("header", True).csv(path)
+    return _shape_sums(sources.read_header_tsv(spark, path)[0])
+
+
+def plain_wkt(spark, sf):
+    path = fresh_path(spark, "wkt")
+    _part(spark, sf).select(g.to_wkt(F.col("rings"))).write.text(path)
+    return _shape_sums(sources.read_wkt(spark, path, partitions=5)[0])
+
+
+def geojson(spark, sf):
+    """A feature on each line, every other one with its id among the properties."""
+    pts = F.transform(g.exterior(F.col("rings")), lambda p: F.array(p["x"], p["y"]))
+    shape = F.struct(F.lit("Polygon").alias("type"), F.array(pts).alias("coordinates"))
+    even = F.col("id").cast("bigint") % 2 == 0
+    feature = F.struct(F.lit("Feature").alias("type"), F.when(even, F.col("id")).alias("id"), F.struct(F.when(~even, F.col("id")).alias("id")).alias("properties"), shape.alias("geometry"))
+    path = fresh_path(spark, "geojson")
+    _part(spark, sf).select(F.to_json(feature)).write.text(path)
+    return sources.read_geojson(spark, path, by_line=True)[0].select("id", g.area(F.col("rings")).alias("area"))
+
+
+def result_files(spark, sf):
+    """Result text written to files, which are there then, and read again."""
+    path = fresh_path(spark, "results")
+    sinks.write_results(bf_knn(spark, sf), path)
+    there = sources.path_exists(spark, path) and not sources.path_exists(spark, f"{path}-not")
+    return sources.read_results(spark, path).withColumn("there", F.lit(there))
+
+
+def comparison_csv(spark, sf):
+    path = fresh_path(spark, "comparison")
+    sinks.write_evaluation(eval_per_query(spark, sf), path)
+    back = spark.read.option("header", True).csv(path)
+    counts = {c for c in sinks.EVAL_COLUMNS if c.startswith("total")}
+    return back.select("query_id", *(F.col(c).cast("bigint" if c in counts else "double").alias(c) for c in sinks.EVAL_COLUMNS[1:]))
+
+
+def query_wkt(spark, sf):
+    """Geometries of each query and its neighbours, written by query and read again."""
+    q, d = _sides(spark, sf)
+    path = fresh_path(spark, "query-wkt")
+    sinks.write_query_wkt(bf_knn(spark, sf), q, d, path)
+    back = spark.read.text(path).select(F.col("query_id").cast("string").alias("query_id"), F.substring_index("value", "\t", -1).alias("wkt"), F.col("value").startswith("query").alias("own"))
+    read = sources.parse_geometry(back)
+    return read.groupBy("query_id").agg(F.count("*").alias("n"), F.count_if("own").alias("n_own"), F.sum(g.area(F.col("rings"))).alias("area"))
+
+
+QUERIES = {f.__name__: f for f in (scan_polygons, center_polygon, polygon_area, polygon_centroid, polygon_mbr, global_mbr, grid_cells, fill_ratio, sketch, occupied_cells, sketch_jaccard, sketch_join_distance, point_in_polygon, jaccard_distance, polygon_coordinates, similarity, sketch_minhash, consistent_minhash, darts, minhash_signatures, minhash_by_cells, signature_stats, lsh_buckets, bucket_contents, bucket_sizes, lsh_candidates, lsh_knn, bf_knn, pruning_ratio, top1_stats, eval_per_query, eval_global, eval_global_all, result_text_roundtrip, irregular_shapes, irregular_bf_knn, irregular_lsh_knn, irregular_pruning, irregular_excluded, rejected_lines, last_line_wins, repaired_polygons, header_tsv, plain_wkt, geojson, result_files, comparison_csv, query_wkt)}
 
 
 # --- SQL -----------------------------------------------------------------------------------------
@@ -267,13 +425,13 @@ _RANK = "CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, neighb
 
 
 @cache
-def _darts_sql() -> str:
+def _darts_sql(darts: minhash.Darts = DARTS, box: str = _BOX) -> str:
     """CTEs u (table_id, pos, attempt, u, v) and t, the same points in the box."""
     rows = []
-    for h in range(DARTS.tables):
-        for i in range(DARTS.length):
-            rows += [f"({h}, {i}, {n}, CAST('{u!r}' AS DOUBLE), CAST('{v!r}' AS DOUBLE))" for n, (u, v) in enumerate(zip(*(x.tolist() for x in DARTS.unit(h, i)), strict=True), 1)]
-    return f"u AS (SELECT * FROM (VALUES {', '.join(rows)}) x(table_id, pos, attempt, u, v)), {_BOX}, t AS (SELECT CAST(table_id AS INTEGER) AS table_id, CAST(pos AS INTEGER) AS pos, CAST(attempt AS BIGINT) AS attempt, u * (xmax - xmin) + xmin AS x, v * (ymax - ymin) + ymin AS y FROM u, box)"
+    for h in range(darts.tables):
+        for i in range(darts.length):
+            rows += [f"({h}, {i}, {n}, CAST('{u!r}' AS DOUBLE), CAST('{v!r}' AS DOUBLE))" for n, (u, v) in enumerate(zip(*(x.tolist() for x in darts.unit(h, i)), strict=True), 1)]
+    return f"u AS (SELECT * FROM (VALUES {', '.join(rows)}) x(table_id, pos, attempt, u, v)), {box}, t AS (SELECT CAST(table_id AS INTEGER) AS table_id, CAST(pos AS INTEGER) AS pos, CAST(attempt AS BIGINT) AS attempt, u * (xmax - xmin) + xmin AS x, v * (ymax - ymin) + ymin AS y FROM u, box)"
 
 
 def _hashes(side: str) -> str:
@@ -359,4 +517,55 @@ ORACLE_SQL = {
     "eval_global_all": f"WITH {_knn()}, x AS (SELECT b.query_id, precision_at_k, recall_at_k, mse, total_lsh_neighbors, b.n AS total_bf_neighbors, total_matched_neighbors FROM (SELECT query_id, count(*) AS n FROM bf GROUP BY query_id) b LEFT JOIN ev USING (query_id)) {_OVERALL} x",
     "result_text_roundtrip": f"WITH {_knn()} SELECT query_id, neighbor_id, CAST(printf('%.6g', distance) AS DOUBLE) AS distance, rank FROM lsh",
 }
+
+
+def _irregular_side(name: str, table: str, key: str, number: str) -> str:
+    """CTEs {name} (id, n_parts, area, cx, cy), {name}_s (outer segments of those in one part) and {name}_e (edges), both around the centroid."""
+    box = lambda x0, y0, x1, y1: ([x0, x1, x1, x0], [y0, y0, y1, y1])
+    rings = [(0, 0, 0, False, (["0", "w", "w", "w * t", "w * t", "0"], ["0", "0", "h * t", "h * t", "h", "h"])), (1, 0, 0, False, box("0", "0", "w", "h")), (1, 0, 1, True, box("w / 4", "h / 4", "w / 2", "h / 2")), (2, 0, 0, False, box("0", "0", "w", "h")), (2, 1, 1, False, box("w + 1", "0", "w + 1 + w * t", "h * t")), (3, 0, 0, False, (["0", "w / 2", "w", "w / 2"], ["0", "h * t", "0", "h"]))]
+    points = " UNION ALL ".join(f"SELECT id, {part} AS part, {ring} AS ring, {hole} AS hole, {len(xs)} AS m, generate_subscripts([{', '.join(xs)}], 1) AS i, unnest([{', '.join(f'CAST({x} AS DOUBLE)' for x in xs)}]) AS x, unnest([{', '.join(f'CAST({y} AS DOUBLE)' for y in ys)}]) AS y FROM {name}_k WHERE k % 4 = {kind}" for kind, part, ring, hole, (xs, ys) in rings)
+    return f"""{name}_k AS (SELECT CAST({key} AS VARCHAR) AS id, k, 6.0E0 + CAST(k * 7919 % 10007 AS DOUBLE) / 1024 AS w, 6.0E0 + CAST(k * 104729 % 10009 AS DOUBLE) / 1024 AS h, 0.25E0 + CAST(k * 31 % 7 AS DOUBLE) / 16 AS t FROM (SELECT {key}, {number} AS k FROM {table})),
+{name}_v AS ({points}),
+{name}_g AS (SELECT p.*, q.x AS x1, q.y AS y1 FROM {name}_v p JOIN {name}_v q ON p.id = q.id AND p.ring = q.ring AND q.i = p.i % p.m + 1),
+{name}_r AS (SELECT id, part, ring, sum(x * y1 - x1 * y) AS area2, sign(sum(x * y1 - x1 * y)) * CASE WHEN any_value(hole) THEN -1 ELSE 1 END AS role, sum((x + x1) * (x * y1 - x1 * y)) AS mx, sum((y + y1) * (x * y1 - x1 * y)) AS my FROM {name}_g GROUP BY id, part, ring),
+{name} AS (SELECT id, count(DISTINCT part) AS n_parts, sum(role * area2) / 2 AS area, sum(role * mx) / (3 * sum(role * area2)) AS cx, sum(role * my) / (3 * sum(role * area2)) AS cy FROM {name}_r GROUP BY id),
+{name}_c AS (SELECT g.id, g.hole, n_parts, role, x - cx AS x0, y - cy AS y0, x1 - cx AS x1, y1 - cy AS y1 FROM {name}_g g JOIN {name}_r USING (id, part, ring) JOIN {name} ON {name}.id = g.id),
+{name}_s AS (SELECT * FROM {name}_c WHERE NOT hole AND n_parts = 1),
+{name}_e AS (SELECT id, least(x0, x1) AS l, greatest(x0, x1) AS r, CASE WHEN x0 < x1 THEN y0 ELSE y1 END AS yl, CASE WHEN x0 < x1 THEN y1 ELSE y0 END AS yr, role * sign(x0 - x1) AS s FROM {name}_c WHERE x0 <> x1)"""
+
+
+_SIDES = f"{_irregular_side('d', 'part', 'p_partkey', 'p_partkey')}, {_irregular_side('q', 'supplier', 's_suppkey', 's_suppkey * 31 + 5')}"
+_IRREGULAR_BOX = "box AS (SELECT min(x0) AS xmin, min(y0) AS ymin, max(x0) AS xmax, max(y0) AS ymax FROM d_c)"
+_IRREGULAR_PAIRS = f"""{_SIDES}, {_overlap(f"SELECT a.id AS ka, b.id AS kb, {_EDGE_PAIR} FROM q_e a, d_e b")},
+alld AS (SELECT q.id AS query_id, d.id AS neighbor_id, 1.0E0 - coalesce(o.area, 0) / (q.area + d.area - coalesce(o.area, 0)) AS distance FROM q CROSS JOIN d LEFT JOIN o ON o.ka = q.id AND o.kb = d.id)"""
+
+
+def _long_hashes(side: str) -> str:
+    """CTE {side}_m (id, table_id, hash): the first hits of all places of a table."""
+    return f"""{side}_m AS (SELECT id, table_id, string_agg(a, ',' ORDER BY pos) AS hash FROM (SELECT id, table_id, pos, min(attempt) AS a FROM (SELECT e.id, t.table_id, t.pos, t.attempt FROM (SELECT * FROM {side}_s WHERE y0 <> y1) e JOIN t ON (e.y0 > t.y) <> (e.y1 > t.y) AND t.x < (e.x1 - e.x0) * (t.y - e.y0) / (e.y1 - e.y0) + e.x0 GROUP BY e.id, t.table_id, t.pos, t.attempt HAVING count(*) % 2 = 1) GROUP BY id, table_id, pos) GROUP BY id, table_id)"""
+
+
+def _fine() -> str:
+    """CTEs of signatures and cand (query_id, neighbor_id), the pairs that share a bucket."""
+    return f"{_darts_sql(FINE, _IRREGULAR_BOX)}, {_long_hashes('d')}, {_long_hashes('q')}, cand AS (SELECT DISTINCT q_m.id AS query_id, d_m.id AS neighbor_id FROM q_m JOIN d_m USING (table_id, hash))"
+
+
+_SUMS = f"WITH {_PART} SELECT round(area, 6) AS area, count(*) AS n FROM d GROUP BY 1"
+_SQUARE = "'POLYGON ((0 0, ' || k || ' 0, ' || k || ' ' || k || ', 0 ' || k || ', 0 0))'"
+ORACLE_SQL |= {
+    "irregular_shapes": f"WITH {_SIDES}, b AS (SELECT id, max(x0) - min(x0) AS w, max(y0) - min(y0) AS h FROM d_c GROUP BY id) SELECT id, round(area, 9) AS area, n_parts, round(w * h, 9) AS box_area, CAST(5 AS BIGINT) AS box_points FROM d JOIN b USING (id)",
+    "irregular_bf_knn": f"WITH {_IRREGULAR_PAIRS} SELECT query_id, neighbor_id, round(distance + 1e-9, 6) AS distance, rank FROM (SELECT *, {_RANK} FROM alld) WHERE rank <= {K}",
+    "irregular_lsh_knn": f"WITH {_IRREGULAR_PAIRS}, {_fine()} SELECT query_id, neighbor_id, round(distance + 1e-9, 6) AS distance, rank FROM (SELECT query_id, neighbor_id, distance, {_RANK} FROM cand JOIN alld USING (query_id, neighbor_id)) WHERE rank <= {K}",
+    "irregular_pruning": f"WITH {_SIDES}, {_fine()}, n AS (SELECT (SELECT count(*) FROM cand) AS refined, (SELECT count(*) FROM q) * (SELECT count(*) FROM d) AS possible) SELECT refined, possible, 100.0E0 * (1 - CAST(refined AS DOUBLE) / possible) AS pruned_pct FROM n",
+    "irregular_excluded": f"WITH {_SIDES}, {_fine()} SELECT (SELECT count(*) FROM d WHERE id NOT IN (SELECT id FROM d_m)) AS data, (SELECT count(*) FROM q WHERE id NOT IN (SELECT id FROM q_m)) AS queries",
+    "rejected_lines": f"WITH d AS (SELECT p_partkey + 1 AS k, (p_partkey + 1) % 8 AS kind, chr(9) AS tab FROM part) SELECT CASE kind WHEN 1 THEN k || tab || 'POINT (' || k || ' 1)' || tab || 'x' WHEN 2 THEN k || tab || 'MULTIPOLYGON (((0 0, 1 0, 1 1, 0 0)))' || tab WHEN 3 THEN k || tab || 'POLYGON ((0 0, ' || k || tab || 'x' WHEN 4 THEN k || tab || {_SQUARE} WHEN 5 THEN k || ' ' || {_SQUARE} ELSE k || tab || 'POLYGON ((0 0, 1 1, 2 2, 0 0))' || tab || 'x' END AS line, CASE WHEN kind IN (1, 2) THEN 'not a polygon' WHEN kind = 3 THEN 'bad geometry' WHEN kind IN (4, 5) THEN 'fewer than two tabs' ELSE 'no area' END AS reason FROM d WHERE kind NOT IN (0, 6)",
+    "last_line_wins": "SELECT CAST(p_partkey % 100 AS VARCHAR) AS id, CAST(max(p_partkey) AS DOUBLE) AS area FROM part GROUP BY p_partkey % 100",
+    "repaired_polygons": "SELECT CAST(k AS VARCHAR) AS id, CAST(k AS DOUBLE) * k * CASE k % 4 WHEN 1 THEN 0.5E0 WHEN 3 THEN 16 ELSE 1 END AS area, CAST(CASE k % 4 WHEN 1 THEN 2 WHEN 3 THEN 2 ELSE 1 END AS BIGINT) AS n_parts, k % 4 > 0 AS repaired FROM (SELECT p_partkey + 1 AS k FROM part)",
+    "header_tsv": _SUMS,
+    "plain_wkt": _SUMS,
+    "geojson": f"WITH {_PART} SELECT id, area FROM d",
+    "result_files": f"WITH {_PAIRS} SELECT query_id, neighbor_id, CAST(printf('%.6g', distance) AS DOUBLE) AS distance, rank, TRUE AS there FROM (SELECT *, {_RANK} FROM alld) WHERE rank <= {K}",
+    "comparison_csv": f"WITH {_knn()} SELECT query_id, avg_recall, mse, false_positive_rate, total_lsh_neighbors, total_bf_neighbors, total_matched_neighbors FROM ev",
+    "query_wkt": f"WITH {_PAIRS}, bf AS (SELECT * FROM (SELECT *, {_RANK} FROM alld) WHERE rank <= {K}), r AS (SELECT query_id, d.area, 0 AS own FROM bf JOIN d ON d.id = neighbor_id UNION ALL SELECT id, area, 1 FROM q) SELECT query_id, count(*) AS n, count(*) FILTER (WHERE own = 1) AS n_own, sum(area) AS area FROM r GROUP BY query_id",
+}
 ORACLE_SQL["minhash_by_cells"] = ORACLE_SQL["lsh_buckets"] = ORACLE_SQL["minhash_signatures"]

@@ -49,15 +49,22 @@ def parse_geometry(df: DataFrame, text_col: str = "wkt", form: str = "wkt") -> D
     return df.select(*(f.name for f in keep)).mapInArrow(run, f"{schema}, {_PARSED}" if schema else _PARSED)
 
 
+def numbered(lines: DataFrame) -> DataFrame:
+    """``value`` with ``line_no``: file, block and place in it, which orders lines as files hold them, files by name; where lines come from no file, the order of Spark's partitions."""
+    place = F.struct(F.input_file_name().alias("file"), F.input_file_block_start().alias("block"), F.monotonically_increasing_id().alias("line"))
+    return lines.select(place.alias("line_no"), "value")
+
+
 def split_lines(lines: DataFrame) -> DataFrame:
     """``value`` to (line_no, id, wkt, value): the id ends at the first tab, the text at the last; null without two tabs. Empty lines go.
 
-    ``line_no`` is the order of Spark's partitions, the file's own for a single file.
+    ``line_no``: as ``numbered`` gives, if the lines haven't that column yet.
     """
     form = r"^([^\t]*)\t([\s\S]*)\t[^\t]*$"
     full = F.col("value").rlike(form)
     part = lambda n: F.when(full, F.regexp_extract("value", form, n))
-    return lines.filter("value <> ''").select(F.monotonically_increasing_id().alias("line_no"), part(1).alias("id"), part(2).alias("wkt"), "value")
+    lines = lines if "line_no" in lines.columns else numbered(lines)
+    return lines.filter("value <> ''").select("line_no", part(1).alias("id"), part(2).alias("wkt"), "value")
 
 
 def _parted(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -76,8 +83,8 @@ def polygons_of_lines(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def read_wkt_with_id(spark: SparkSession, path: str, partitions: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """Polygons and rejects of text files; ``partitions`` deals the lines out in turns first."""
-    lines = spark.read.text(path)
+    """Polygons and rejects of text files; ``partitions`` deals the lines out in turns first. Of a repeated id the last line holds either way."""
+    lines = numbered(spark.read.text(path))
     return polygons_of_lines(lines.repartition(partitions) if partitions else lines)
 
 
@@ -98,16 +105,19 @@ def read_wkt(spark: SparkSession, path: str, partitions: int | None = None) -> t
     return good.select("rings", "n_parts", "repaired"), rejects
 
 
-def read_geojson(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+def read_geojson(spark: SparkSession, path: str, by_line: bool = False) -> tuple[DataFrame, DataFrame]:
     """Features of a FeatureCollection, or of one feature on each line: (id, rings, n_parts, repaired) and rejects.
 
-    The id is the feature's own, else its property ``id``.
+    The id is the feature's own, else its property ``id``. ``by_line``: the files have a feature on each line and are
+    read in splits; otherwise a file is one value, since a collection may span lines.
     """
-    # the whole file is one value: a collection may span lines
-    text = spark.read.text(path, wholetext=True)
-    whole = F.from_json("value", "features array<string>")["features"]
-    split = F.coalesce(whole, F.filter(F.split("value", "\n"), lambda x: F.trim(x) != ""))
-    features = text.select(F.explode(split).alias("value"))
+    if by_line:
+        features = spark.read.text(path).filter(F.trim("value") != "")
+    else:
+        text = spark.read.text(path, wholetext=True)
+        whole = F.from_json("value", "features array<string>")["features"]
+        split = F.coalesce(whole, F.filter(F.split("value", "\n"), lambda x: F.trim(x) != ""))
+        features = text.select(F.explode(split).alias("value"))
     field = lambda at: F.get_json_object("value", at)
     parsed = parse_geometry(features.select("value", F.coalesce(field("$.id"), field("$.properties.id")).alias("id"), field("$.geometry").alias("wkt")), form="geojson")
     good, rejects = _parted(parsed)
