@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import evaluate, search, sinks
 from tessera.operators.minhash import Darts, signature_stats
-from tessera.session import stored
+from tessera.session import cleanup, stored
 from tessera.sources.polygons import read_wkt_with_id
 
 
@@ -66,6 +66,7 @@ def main(args: list[str]) -> None:
     sinks.write_signature_stats(done.stats, f"{out}/signatures")
     for name in ("pruning", "top1", "overall", "excluded"):
         getattr(done, name).write.json(f"{out}/{name}")
+    cleanup(spark)
 
 
 if __name__ == "__main__":

@@ -240,8 +240,8 @@ def result_text_roundtrip(spark, sf):
 
 # --- shapes that are all different: concave, with holes, in two parts
 
-#: More and longer signatures than the fixed values: few pairs meet.
-FINE = minhash.Darts(tables=6, length=3, attempts=1024)
+#: Longer signatures than the fixed values: few pairs meet.
+FINE = minhash.Darts(tables=2, length=4, attempts=1024)
 
 
 @cache

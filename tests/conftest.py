@@ -15,4 +15,7 @@ def spark():
     session = local_session(4, "4g")
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    from tessera.session import cleanup
+
+    cleanup(session)
     session.stop()

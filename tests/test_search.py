@@ -27,6 +27,50 @@ def test_lines(spark, tmp_path):
     assert sorted(r["reason"].split(":")[0] for r in rejects.collect()) == sorted(["not a polygon", "not a polygon", "bad geometry", "fewer than two tabs", "fewer than two tabs", "no area"])
 
 
+def test_the_last_line_wins_however_lines_are_dealt(spark, tmp_path):
+    for part in range(3):
+        lines = [f"{i % 50}\tPOLYGON ((0 0, {n} 0, {n} 1, 0 1, 0 0))\tx" for i in range(400) for n in [400 * part + i + 1]]
+        (tmp_path / f"{part}.txt").write_text("\n".join(lines[: 400 - 100 * part]))
+    want = {str(i): 800 + 150 + i + 1 for i in range(50)}
+    for partitions in (None, 7):
+        good, _ = sources.read_wkt_with_id(spark, f"file://{tmp_path}", partitions)
+        from tessera.functions import geometry as g
+
+        assert {r["id"]: r["a"] for r in good.select("id", g.area(F.col("rings")).alias("a")).collect()} == want
+
+
+@pytest.mark.parametrize("block", [1024, 3])
+def test_blocks_of_buckets(spark, block):
+    s, d = sides(spark)
+    index = search.LshIndex.fit(d, minhash.Darts(tables=3, attempts=600))
+    want = index.candidates(s).count()
+    _, shapes = search._once(s)
+    a, b = index._dealt(shapes, bin_rows=100, block=block)
+    rows = {}
+    for name, side in (("a", a), ("b", b)):
+        for r in side.collect():
+            rows.setdefault((r["group"], r["sub"]), {"a": [], "b": []})[name].append(r)
+    members = {}
+    for r in index.members.collect():
+        members[r["shape"]] = members.get(r["shape"], 0) + 1
+    asked = {}
+    for r in search._once(s)[0].collect():
+        asked[r["shape"]] = asked.get(r["shape"], 0) + 1
+    met = [(x["shape"], y["shape"]) for v in rows.values() for x in v["a"] for y in v["b"] if x["key"] == y["key"] and not any(p == q for p, q in zip(x["sig"][: x["table_id"]], y["sig"]))]
+    # each pair that shares a bucket meets once
+    assert len(met) == len({*met}) and sum(asked[p] * members[q] for p, q in met) == want
+
+
+def test_tables_are_removed(spark):
+    from tessera import session
+
+    path = session.fresh_path(spark, "x")
+    kept = session.stored_at(spark.range(3), path)
+    assert kept.count() == 3 and sources.path_exists(spark, path)
+    session.remove(spark, path)
+    assert not sources.path_exists(spark, path) and path not in session._MADE[spark.sparkContext.applicationId]
+
+
 def test_other_readers(spark, tmp_path):
     (tmp_path / "h.tsv").write_text("geom\trest\nPOLYGON ((0 0, 2 0, 2 2, 0 2, 0 0))\tx\tPOLYGON\nnonsense\ty\n")
     good, rejects = sources.read_header_tsv(spark, f"file://{tmp_path}/h.tsv")
