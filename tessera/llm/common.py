@@ -10,9 +10,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.session import fresh_path, shared_dir, stored
+from tessera.session import fresh_path, remove, shared_dir, stored, stored_at
 
-__all__ = ["fresh_path", "shared_dir", "stored"]
+__all__ = ["fresh_path", "remove", "shared_dir", "stored", "stored_at"]
 
 
 def free_name(df: DataFrame, wish: str) -> str:

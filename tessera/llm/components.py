@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import stored
+from tessera.llm.common import fresh_path, remove, stored_at
 
 
 def _least(edges: DataFrame) -> DataFrame:
@@ -25,12 +25,14 @@ def connected_components(links: DataFrame, *, rounds: int = 60) -> DataFrame:
 
     Large-star and small-star rounds in turn: each node hands its neighbours to its least
     neighbour, until all components are stars around their root. The rounds grow with the logarithm of
-    the component's size; each is a table in the shared folder. No neighbour list is ever
+    the component's size; each is a table in the shared folder, which goes when the next is there. No neighbour list is ever
     gathered: both steps are an aggregate and a join, which splits where a node has very
     many links. No links give no rows.
     """
     first = links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    edges = stored(first, "links")
+    spark = links.sparkSession
+    path = fresh_path(spark, "links")
+    edges = stored_at(first, path)
     for _ in range(rounds):
         if _are_stars(edges):
             break
@@ -39,7 +41,9 @@ def connected_components(links: DataFrame, *, rounds: int = 60) -> DataFrame:
         down = large.select(F.col("a").alias("v"), F.col("b").alias("u"))
         small = down.join(_least(down), "v")
         moved = small.select(F.col("u").alias("a"), F.col("m").alias("b")).unionByName(small.select(F.col("v").alias("a"), F.col("m").alias("b")))
-        edges = stored(moved.filter("a <> b").distinct(), "links")
+        before, path = path, fresh_path(spark, "links")
+        edges = stored_at(moved.filter("a <> b").distinct(), path)
+        remove(spark, before)
     else:
         raise RuntimeError("components did not settle")
     stars = edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
