@@ -13,7 +13,6 @@ import struct
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm.common import add_in_arrow, bytes_digest, file_bytes
@@ -157,7 +156,7 @@ def encode_column(df: DataFrame, ranks_path: str, pattern: str, *, text_col: str
         ends = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
         return [pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*ids, np.zeros(0, np.int32)])))]
 
-    return add_in_arrow(df, F.col(f"`{text_col}`"), {out: T.ArrayType(T.IntegerType())}, work)
+    return add_in_arrow(df, text_col, {out: T.ArrayType(T.IntegerType())}, work)
 
 
 def decode_column(df: DataFrame, ranks_path: str, pattern: str, *, ids_col: str = "ids", out: str = "decoded") -> DataFrame:
@@ -169,4 +168,4 @@ def decode_column(df: DataFrame, ranks_path: str, pattern: str, *, ids_col: str
         bpe = _loaded(sent.value, pattern)
         return [pa.array([bpe.decode(np.asarray(x.values) if x.is_valid else np.zeros(0, np.int32)) for x in column], pa.binary())]
 
-    return add_in_arrow(df, F.col(f"`{ids_col}`"), {out: T.BinaryType()}, work)
+    return add_in_arrow(df, ids_col, {out: T.BinaryType()}, work)

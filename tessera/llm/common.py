@@ -35,20 +35,26 @@ def small_batches(spark: SparkSession, most: int = 8 << 20) -> None:
         spark.conf.set(name, f"{most}b")
 
 
-def add_in_arrow(df: DataFrame, given: Column, made: dict[str, T.DataType], work: Callable[[pa.RecordBatch], list[pa.Array]], *, drop: tuple[str, ...] = ()) -> DataFrame:
-    """Adds the columns ``made``, which ``work`` makes of each batch's column ``given``; columns of those names are replaced, all others pass, whatever their names, but for those in ``drop``."""
+def add_in_arrow(df: DataFrame, given: str, made: dict[str, T.DataType], work: Callable[[pa.Array], list[pa.Array]], *, drop: tuple[str, ...] = ()) -> DataFrame:
+    """Adds the columns ``made``, which ``work`` makes of each batch's column ``given``; columns of those names are replaced, all others pass, whatever their names, but for those in ``drop``.
+
+    A column that passes is sent to the workers once, ``given`` too.
+    """
     small_batches(df.sparkSession)
-    keep = [F.col(f"`{c}`") for c in df.columns if c not in made and c not in drop]
-    packed = df.select(F.struct(*keep).alias("row"), given.alias("given")) if keep else df.select(F.struct(F.lit(0)).alias("row"), given.alias("given"))
+    passing = [c for c in df.columns if c not in made and c not in drop]
+    row = F.struct(*[F.col(f"`{c}`") for c in passing]) if passing else F.struct(F.lit(0))
+    place = passing.index(given) if given in passing else None
+    packed = df.select(row.alias("row")) if place is not None else df.select(row.alias("row"), F.col(f"`{given}`").alias("given"))
     names = [f"made{i}" for i in range(len(made))]
     schema = T.StructType([packed.schema["row"], *(T.StructField(n, t) for n, t in zip(names, made.values(), strict=True))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("row"), *work(b.column("given"))], names=["row", *names])
+            rows = b.column("row")
+            yield pa.RecordBatch.from_arrays([rows, *work(b.column("given") if place is None else rows.field(place))], names=["row", *names])
 
     found = packed.mapInArrow(run, schema)
-    return found.select(*(["row.*"] if keep else []), *(F.col(n).alias(m) for n, m in zip(names, made, strict=True)))
+    return found.select(*(["row.*"] if passing else []), *(F.col(n).alias(m) for n, m in zip(names, made, strict=True)))
 
 
 def exists(spark: SparkSession, path: str) -> bool:

@@ -188,4 +188,4 @@ def identify(docs: DataFrame, model: Model, *, text_col: str = "text", pred_col:
         got = [predict_text(sent.value, cell.as_py()) for cell in texts]
         return [pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())]
 
-    return add_in_arrow(docs, F.col(f"`{text_col}`"), {pred_col: T.StringType(), score_col: T.DoubleType()}, work)
+    return add_in_arrow(docs, text_col, {pred_col: T.StringType(), score_col: T.DoubleType()}, work)

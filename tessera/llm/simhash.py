@@ -43,7 +43,7 @@ def fingerprint(text: bytes, words: int = 3, seed: int = 42) -> int:
 def fingerprints(df: DataFrame, *, text_col: str = "text", out: str = "fingerprint", words: int = 3, seed: int = 42, keep_text: bool = False) -> DataFrame:
     """Adds ``out`` (bigint) to each row; a null or wordless text has fingerprint 0. Other columns pass, the text with ``keep_text``; one of that name is replaced."""
     work = lambda texts: [pa.array([fingerprint((cell.as_py() or "").encode(), words, seed) for cell in texts], pa.int64())]
-    return add_in_arrow(df, F.col(f"`{text_col}`"), {out: T.LongType()}, work, drop=() if keep_text else (text_col,))
+    return add_in_arrow(df, text_col, {out: T.LongType()}, work, drop=() if keep_text else (text_col,))
 
 
 def _rotated(x: Column, by: int) -> Column:
