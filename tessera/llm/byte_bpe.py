@@ -15,13 +15,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from tessera.llm.common import add_in_arrow, bytes_digest, file_bytes
+from tessera.llm.common import add_in_arrow, bytes_digest, file_bytes, held
 
 #: Unicode's White_Space; the spellings of \s differ between regular expression libraries.
 SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Entries that a worker remembers; when they are reached it starts again.
 MEMO = 400_000
-_LOADED: dict[str, "ByteBpe"] = {}
+#: Longer chunks aren't remembered, so that the memo is bounded in bytes too.
+LONG = 64
 
 
 def byte_characters() -> list[str]:
@@ -104,7 +105,9 @@ class ByteBpe:
         if len(self.memo) >= MEMO:
             self.memo.clear()
         ids = [i for t in self.split(chunk) for i in self._pretoken(t)]
-        self.memo[chunk] = out = np.array(ids, np.int32).tobytes()
+        out = np.array(ids, np.int32).tobytes()
+        if len(chunk) <= LONG:
+            self.memo[chunk] = out
         return out
 
     def encode(self, text: str) -> np.ndarray:
@@ -138,10 +141,7 @@ def _spelled(pattern: str) -> str:
 
 
 def _loaded(data: bytes, pattern: str) -> ByteBpe:
-    key = bytes_digest(data + pattern.encode())
-    if key not in _LOADED:
-        _LOADED[key] = ByteBpe(read_ranks(data), pattern)
-    return _LOADED[key]
+    return held(("bytes", bytes_digest(data + pattern.encode())), lambda: ByteBpe(read_ranks(data), pattern))
 
 
 def encode_column(df: DataFrame, ranks_path: str, pattern: str, *, text_col: str = "text", out: str = "ids") -> DataFrame:

@@ -24,6 +24,18 @@ def free_name(df: DataFrame, wish: str) -> str:
     return name
 
 
+_HELD: dict[object, object] = {}
+
+
+def held(key: object, make: Callable[[], object]):
+    """What a worker process keeps between its tasks, such as a tokenizer and the words it remembers: one thing at a time, for
+    workers outlive a stage; when another one is asked for, the one before goes."""
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
 def small_batches(spark: SparkSession, most: int = 8 << 20) -> None:
     """From now on the session hands Python workers batches of about ``most`` bytes, if it handed them larger ones, so that long texts take little memory at once.
 

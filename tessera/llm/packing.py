@@ -24,11 +24,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bytes_digest, file_bytes, small_batches, stored
+from tessera.llm.common import bytes_digest, file_bytes, held, small_batches, stored
 
 #: Entries that a worker remembers; when they are reached it starts again.
 MEMO = 1_000_000
-_LOADED: dict[str, "WordTokens"] = {}
+#: Bytes of the words that a worker remembers, likewise.
+MEMO_BYTES = 32 << 20
 
 
 #: The splitting pattern for which words can be encoded one by one: letters, single digits, runs of other signs.
@@ -51,6 +52,7 @@ class WordTokens:
         self.tok.no_truncation()
         self.tok.no_padding()
         self.memo: dict[bytes, bytes] = {}
+        self.memo_bytes = 0
         self.cut = regex.compile(_PATTERN).findall
         #: ASCII and the letters of Latin and Cyrillic blocks that have been full for long.
         self.plain = re.compile("[\x00-\x7f\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f\u0400-\u045f]*").fullmatch
@@ -80,8 +82,11 @@ class WordTokens:
         return np.array(self.tok.encode(text.decode(), add_special_tokens=False).ids, self.kind).tobytes()
 
     def _learn(self, words: list[bytes]) -> None:
-        if len(self.memo) + len(words) > MEMO:
+        size = sum(map(len, words))
+        if len(self.memo) + len(words) > MEMO or self.memo_bytes + size > MEMO_BYTES:
             self.memo.clear()
+            self.memo_bytes = 0
+        self.memo_bytes += size
         texts = b" ".join(words).decode().split(" ")
         # the splitting pattern sees the normalised text: a word that normalising changes, such as one with U+0130, is left to the
         # library, and so is one with signs that one edition of Unicode calls letters and another doesn't
@@ -140,9 +145,7 @@ class WordTokens:
 
 
 def _loaded(data: bytes, key: str) -> WordTokens:
-    if key not in _LOADED:
-        _LOADED[key] = WordTokens(data)
-    return _LOADED[key]
+    return held(("words", key), lambda: WordTokens(data))
 
 
 def tokenise(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", end_id: int | None = None) -> DataFrame:

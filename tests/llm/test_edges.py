@@ -256,3 +256,26 @@ def test_core_without_this_package(tmp_path):
     env = os.environ | {"PYTHONPATH": str(tmp_path)}
     out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True)
     assert out.returncode == 0 and out.stdout.split()[1:] == ["False", "False"], out.stderr
+
+
+def test_workers_hold_little(monkeypatch):
+    """One operator's memo at a time, and long words in none of them; results are the same however little is remembered."""
+    from tessera.llm import byte_bpe, common, packing, shingles
+
+    long = [b"x%d" % i + b"y" * 200 for i in range(50)]
+    words = [b"a", b"b", *long, b"a"]
+    whole = shingles.shingle_set(words)
+    assert [k[0] for k in common._HELD] == ["digests"] and len(next(iter(common._HELD.values()))) == 2
+    data = common.file_bytes(P.path("word_bpe_49k.json"))
+    text = b" ".join(words)
+    tokens = packing._loaded(data, "key")
+    assert [k[0] for k in common._HELD] == ["words"]
+    plain = tokens.tok.encode(text.decode(), add_special_tokens=False).ids
+    monkeypatch.setattr(packing, "MEMO_BYTES", 100)
+    for _ in range(3):
+        assert np.frombuffer(tokens.encode([text, b"a new word"])[0], tokens.kind).tolist() == plain
+        assert tokens.memo_bytes <= len(text) + 10
+    ranks = common.file_bytes(P.path("byte_bpe_50k.tiktoken"))
+    bpe = byte_bpe._loaded(ranks, P.PATTERN)
+    assert bpe.decode(bpe.encode(text.decode())) == text and max(map(len, bpe.memo)) <= byte_bpe.LONG + 1
+    assert [k[0] for k in common._HELD] == ["bytes"] and (shingles.shingle_set(words) == whole).all()
