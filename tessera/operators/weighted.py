@@ -34,7 +34,7 @@ def consistent_parameters(spark: SparkSession, cells: int, tables: int = 2, seed
 
 
 def consistent_hashes(sketch_cells: DataFrame, parameters: DataFrame) -> DataFrame:
-    """(id, table_id, cell_id, t): the sampled cell and quantised weight; exact for any weights, without rejection."""
-    met = sketch_cells.join(parameters, "cell_id").withColumn("t", F.floor(F.ln("fill") / F.col("r") + F.col("beta")))
+    """(id, table_id, cell_id, t): the sampled cell and quantised weight; exact for any weights, without rejection. The parameters are sent to every task."""
+    met = sketch_cells.join(F.broadcast(parameters), "cell_id").withColumn("t", F.floor(F.ln("fill") / F.col("r") + F.col("beta")))
     least = F.ln("c") - F.col("r") * (F.col("t") - F.col("beta")) - F.col("r")
     return met.groupBy("id", "table_id").agg(F.min(F.struct(least.alias("a"), "cell_id", "t")).alias("m")).select("id", "table_id", "m.cell_id", "m.t")
