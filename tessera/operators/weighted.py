@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -20,9 +21,12 @@ def rejection_hashes(sketch_cells: DataFrame, points: DataFrame) -> DataFrame:
     """(id, table_id, hash): the first draw that falls below the fill ratio of its cell.
 
     Two sketches share it with the probability of their weighted Jaccard similarity. Draws
-    and cells meet by an equal cell; a sketch that no draw hits has no row.
+    and cells meet by an equal cell; a sketch that no draw hits has no row. Only a draw that is lower than all before it
+    in its cell can be the first; these are sent to every task, and the cells stay where they are.
     """
-    return sketch_cells.join(points, "cell_id").filter("u < fill").groupBy("id", "table_id").agg(F.min("attempt").alias("hash"))
+    before = F.min("u").over(W.partitionBy("table_id", "cell_id").orderBy("attempt").rowsBetween(W.unboundedPreceding, -1))
+    lower = points.withColumn("_before", before).filter(F.col("_before").isNull() | (F.col("u") < F.col("_before"))).drop("_before")
+    return sketch_cells.join(F.broadcast(lower), "cell_id").filter("u < fill").groupBy("id", "table_id").agg(F.min("attempt").alias("hash"))
 
 
 def consistent_parameters(spark: SparkSession, cells: int, tables: int = 2, seed: int = 100) -> DataFrame:
