@@ -78,13 +78,18 @@ def signatures(polygons: DataFrame, box: Row, darts: Darts = Darts(), ring: str
     stops at it, however many points that takes: about the box's area over the polygon's. Polygons
     without area in the box beyond rounding have no row; ``LshIndex.excluded`` counts them.
     """
+    return _signed(polygons, box, darts, ring, lambda x, y, _: lambda *polygons: _hits(*polygons, x, y))
+
+
+def _signed(polygons: DataFrame, box: Row, darts: Darts, ring: str, search) -> DataFrame:
+    """``signatures``; ``search``: what finds the first hits of polygons among the points (x, y) of the first block in the box."""
     shells = F.filter("rings", lambda r: ~r["is_hole"]) if ring == "exterior" else F.col("rings")
     flat = polygons.filter(F.col("n_parts") == 1).select("id", F.transform(shells, lambda r: r["pts"]).alias("pts"))
     kind = polygons.schema["id"].dataType.simpleString()
     bounds = box.asDict() if isinstance(box, Row) else dict(box)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        points = {(h, i): darts.scaled(h, i, bounds) for h in range(darts.tables) for i in range(darts.length)}
+        searches = {(h, i): search(*darts.scaled(h, i, bounds), bounds) for h in range(darts.tables) for i in range(darts.length)}
         for b in batches:
             rings = b.column("pts")
             per = np.diff(rings.offsets.to_numpy())
@@ -93,7 +98,7 @@ def signatures(polygons: DataFrame, box: Row, darts: Darts = Darts(), ring: str
             xs, ys = (xy.field(c).to_numpy(zero_copy_only=False) for c in ("x", "y"))
             first = np.concatenate([[0], np.cumsum(np.diff(inner.offsets.to_numpy()))])
             # rings of one polygon follow each other; the step from one to the next is no edge
-            hits = {k: _hits(xs, ys, first, per, x, y) for k, (x, y) in points.items()}
+            hits = {k: find(xs, ys, first, per) for k, find in searches.items()}
             _draw_on(hits, xs, ys, first, per, bounds, darts)
             for h in range(darts.tables):
                 values = np.stack([hits[h, i] for i in range(darts.length)], 1)
@@ -183,24 +188,69 @@ def _has_area(x0, y0, x1, y1, box) -> bool:
 
 
 def signatures_by_cells(polygons: DataFrame, box: Row, darts: Darts = Darts(), size: int = 25) -> DataFrame:
-    """As ``signatures`` with exterior rings: points of the first block and polygons meet in grid cells, and the least number remains. What that block misses goes to ``signatures``."""
-    spark = polygons.sparkSession
-    sx, sy = (box["xmax"] - box["xmin"]) / size, (box["ymax"] - box["ymin"]) / size
-    at = lambda v, low, step: F.least(F.greatest(F.floor((v - F.lit(low)) / F.lit(step)), F.lit(0)), F.lit(size - 1)).cast("int")
-    points = darts_table(spark, box, darts).withColumn("cell", at(F.col("y"), box["ymin"], sy) * size + at(F.col("x"), box["xmin"], sx))
-    b = F.col("_b")
-    rows = polygons.filter("n_parts = 1").select("id", g.exterior(F.col("rings")).alias("pts"), g.mbr(F.col("rings")).alias("_b"))
-    rows = rows.select("id", "pts", "_b", F.explode(F.sequence(at(b["ymin"], box["ymin"], sy), at(b["ymax"], box["ymin"], sy))).alias("r"))
-    wide = rows.select("id", "pts", "_b", "r", F.explode(F.sequence(at(b["xmin"], box["xmin"], sx), at(b["xmax"], box["xmin"], sx))).alias("c"))
-    cells = wide.select("id", "pts", "_b", (F.col("r") * size + F.col("c")).alias("cell"))
-    near = cells.join(points, "cell").filter(F.col("x").between(b["xmin"], b["xmax"]) & F.col("y").between(b["ymin"], b["ymax"]))
-    hits = near.filter(g.contains(F.col("pts"), F.col("x"), F.col("y"))).groupBy("id", "table_id", "pos").agg(F.min("attempt").alias("a"))
-    whole = hits.groupBy("id", "table_id").agg(F.sort_array(F.collect_list(F.struct("pos", "a"))).alias("v")).filter(F.size("v") == darts.length)
-    found = whole.select("id", "table_id", F.transform("v", lambda x: x["a"]).alias("hash"))
-    tables = spark.range(darts.tables).select(F.col("id").cast("int").alias("table_id"))
-    missed = polygons.filter("n_parts = 1").select("id").distinct().crossJoin(tables).join(found, ["id", "table_id"], "left_anti")
-    rest = signatures(polygons.join(missed.select("id").distinct(), "id", "left_semi"), box, darts)
-    return found.unionByName(rest.join(missed, ["id", "table_id"], "left_semi").select("id", "table_id", "hash"))
+    """As ``signatures`` with exterior rings: points of the first block and polygons meet in grid cells, and the least number remains. For what that block misses drawing goes on.
+
+    No row is made for a cell or a point: each task deals the points to cells, which lie row by row, so that a polygon takes one run of them for each row that its box touches.
+    """
+    return _signed(polygons, box, darts, "exterior", lambda x, y, bounds: lambda *polygons: _hits_by_cells(*polygons, x, y, bounds, size))
+
+
+def _hits_by_cells(xs, ys, first, per, px, py, box, size: int, few: int = 32, step: int = 1 << 20) -> np.ndarray:
+    """First hits as ``_hits`` gives, from points in the cells that each polygon's box touches: ``few`` points first, then four times as many for polygons not hit yet, and so on."""
+    hit = np.zeros(len(per), np.int64)
+    ends = np.concatenate([[0], np.cumsum(per)])
+    # a step from one ring to the next is no edge
+    start = np.ones(len(xs), bool)
+    start[first[1:][np.diff(first) > 0] - 1] = False
+    edge = np.flatnonzero(start)
+    edges_at = np.searchsorted(edge, first[ends])
+    whole = first[ends]
+    own = np.flatnonzero(np.diff(whole))
+    if not len(own):
+        return hit
+    low_x, low_y = (np.minimum.reduceat(v, whole[own]) for v in (xs, ys))
+    high_x, high_y = (np.maximum.reduceat(v, whole[own]) for v in (xs, ys))
+    sides = ((box["xmin"], (box["xmax"] - box["xmin"]) / size), (box["ymin"], (box["ymax"] - box["ymin"]) / size))
+    cell = lambda v, low, width: np.clip(np.nan_to_num(np.floor((v - low) / width)), 0, size - 1).astype(int) if width > 0 else np.zeros(len(v), int)
+    c0, c1, r0, r1 = cell(low_x, *sides[0]), cell(high_x, *sides[0]), cell(low_y, *sides[1]), cell(high_y, *sides[1])
+    left = np.arange(len(own))
+    at = 0
+    while at < len(px) and len(left):
+        x, y = px[at : at + few], py[at : at + few]
+        cells = cell(y, *sides[1]) * size + cell(x, *sides[0])
+        order = np.argsort(cells, kind="stable")
+        runs = np.searchsorted(cells[order], np.arange(size * size + 1))
+        rows = r1[left] - r0[left] + 1
+        which = np.repeat(left, rows)
+        r = np.arange(rows.sum()) - np.repeat(np.cumsum(rows) - rows, rows) + r0[which]
+        lo, hi = runs[r * size + c0[which]], runs[r * size + c1[which] + 1]
+        n = hi - lo
+        polygon = np.repeat(which, n)
+        point = order[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)]
+        near = (x[point] >= low_x[polygon]) & (x[point] <= high_x[polygon]) & (y[point] >= low_y[polygon]) & (y[point] <= high_y[polygon])
+        polygon, point = polygon[near], point[near]
+        m = (edges_at[1:] - edges_at[:-1])[own[polygon]]
+        polygon, point, m = polygon[m > 0], point[m > 0], m[m > 0]
+        upto = np.cumsum(m)
+        best = np.full(len(own), len(px) + 1)
+        i = 0
+        while i < len(polygon):
+            j = max(i + 1, int(np.searchsorted(upto, (upto[i - 1] if i else 0) + step, "right")))
+            k = m[i:j]
+            begin = np.cumsum(k) - k
+            e = edge[np.arange(k.sum()) - np.repeat(begin, k) + np.repeat(edges_at[own[polygon[i:j]]], k)]
+            u, v = np.repeat(x[point[i:j]], k), np.repeat(y[point[i:j]], k)
+            x0, y0, x1, y1 = xs[e], ys[e], xs[e + 1], ys[e + 1]
+            crossing = ((y0 > v) != (y1 > v)) & (u < (x1 - x0) * (v - y0) / np.where(y1 == y0, 1.0, y1 - y0) + x0)
+            inside = np.add.reduceat(crossing.astype(np.int64), begin) % 2 == 1
+            np.minimum.at(best, polygon[i:j][inside], at + point[i:j][inside] + 1)
+            i = j
+        found = best[left] <= len(px)
+        hit[own[left[found]]] = best[left[found]]
+        left = left[~found]
+        at += few
+        few *= 4
+    return hit
 
 
 def signature_stats(polygons: DataFrame, signed: DataFrame, box: Row) -> DataFrame:

@@ -39,3 +39,30 @@ def test_small_polygons_have_neighbours_and_the_rest_are_counted(spark):
     found = {(r["query_id"], r["neighbor_id"]) for r in index.knn(data, 3).collect()}
     assert all((f"s{i}", f"s{i}") in found for i in range(3))
     assert index.excluded(data).first().asDict() == {"data": 1, "queries": 1}
+
+
+def test_hits_by_cells_are_those_of_all_points():
+    rng = np.random.RandomState(5)
+    xs, ys, first, per = [], [], [0], []
+    for n in range(400):
+        # polygons in and about the box, some with two rings, one with none
+        rings = n % 3 if n < 6 else 1 + (n % 7 == 0)
+        per.append(rings)
+        for _ in range(rings):
+            m = rng.randint(3, 9)
+            x, y = rng.uniform(-200, 1200, 2)[:, None] + rng.choice([5, 50, 400]) * rng.randn(2, m)
+            xs += [*x, x[0]]
+            ys += [*y, y[0]]
+            first.append(len(xs))
+    xs, ys, first, per = (np.array(v) for v in (xs, ys, first, per))
+    x, y = minhash.Darts(attempts=3000).scaled(0, 0, BOX)
+    want = minhash._hits(xs, ys, first, per, x, y)
+    assert 0 < np.count_nonzero(want) < len(want)
+    for size, step in ((25, 1 << 20), (1, 100), (7, 1000)):
+        assert minhash._hits_by_cells(xs, ys, first, per, x, y, BOX, size, step=step).tolist() == want.tolist()
+
+
+def test_no_join_of_cells_and_points(spark):
+    data = rows(spark, {"a": square(0.0, 0.0, 1000.0)})
+    plan = minhash.signatures_by_cells(data, BOX)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Generate" not in plan
