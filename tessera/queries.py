@@ -196,8 +196,7 @@ def bucket_sizes(spark, sf):
 
 def lsh_candidates(spark, sf):
     """How many candidates each query has, and their ids' sum."""
-    c = _index(spark, sf).candidates(_sides(spark, sf)[0])
-    return c.groupBy("query_id").agg(F.count("*").alias("n"), F.sum(F.col("neighbor_id").cast("bigint")).alias("id_sum"))
+    return _index(spark, sf).candidate_totals(_sides(spark, sf)[0], F.col("id")).withColumnRenamed("total", "id_sum")
 
 
 def lsh_knn(spark, sf):

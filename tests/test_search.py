@@ -267,3 +267,16 @@ def test_queries_equal_their_sql(spark, name):
     assert len(ours) == len(theirs) > 0
     for c in ours.columns:
         assert [*map(str, ours[c].where(ours[c].notna(), None))] == [*map(str, theirs[c].where(theirs[c].notna(), None))], c
+
+
+@pytest.mark.parametrize("shape", [octagon, ell])
+def test_candidates_are_counted_without_their_pairs(spark, shape, monkeypatch):
+    s, d = sides(spark, shape)
+    index = search.LshIndex.fit(d, minhash.Darts(tables=3, attempts=600))
+    want = {}
+    for r in index.candidates(s).collect():
+        want.setdefault(r["query_id"], []).append(int(r["neighbor_id"]))
+    monkeypatch.setattr(search.LshIndex, "candidates", None)
+    monkeypatch.setattr(search.LshIndex, "shape_candidates", None)
+    got = {r["query_id"]: (r["n"], r["total"]) for r in index.candidate_totals(s, F.col("id")).collect()}
+    assert got == {n: (len(v), sum(v)) for n, v in want.items()} and got
